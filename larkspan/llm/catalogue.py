@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import byte_bpe, exact_dedup, language_id, packing, sharding, suffix_dedup, token_counts
+from larkspan.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, sharding, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_packing": op6_packing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_minimax_shards": op10_minimax_shards,
