@@ -146,7 +146,7 @@ def percent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text -------------------------------------------------------------------------------------------------------------------
 
-_EDGE, _CHAR, _END = "(^|[^A-Za-z0-9._%+-])", "[A-Za-z0-9._%+-]", "(@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z])"
+_EDGE, _CHAR, _END = "(^|[^A-Za-z0-9._%+*-])", "[A-Za-z0-9._%+-]", "(@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z])"
 
 
 @query("SELECT doc_id, regexp_replace(replace(text, 'the', chr(8203) || 't' || chr(173) || 'he'), '[' || chr(8203) || '-' || chr(8207) || chr(173) || ']', '', 'g') AS stripped FROM documents")

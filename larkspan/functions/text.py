@@ -80,7 +80,7 @@ def visible_text(page: Column) -> Column:
 
 def redact_emails(text: Column) -> Column:
     """Local parts: a -> a*, ab -> a*b, longer -> first***last."""
-    edge, end = "(^|[^A-Za-z0-9._%+-])", "(@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z])"
+    edge, end = "(^|[^A-Za-z0-9._%+*-])", "(@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z])"
     char = "[A-Za-z0-9._%+-]"
     text = F.regexp_replace(text, f"{edge}({char}){char}+({char}){end}", "$1$2***$3$4")
     text = F.regexp_replace(text, f"{edge}({char})({char}){end}", "$1$2*$3$4")
