@@ -117,8 +117,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 
 def held_out(id_col: str, parts: int = 5) -> Column:
-    """Rows kept from training: crc32 of the identifier as text, modulo ``parts``, is 0."""
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % parts == 0
+    """Rows kept from training: crc32 of the identifier as text, modulo ``parts``, is 0 (never for a null one)."""
+    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % parts == 0, F.lit(False))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
