@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspan.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
 from larkspan.llm.staging import staged
 
+#: Repeated strings of this length go: fewer bytes than fifty words of four letters and a space have.
+PASSAGE_BYTES = 240
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without a letter or a clear language go."""
@@ -34,7 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings that occur elsewhere in what is left of the corpus."""
-    return suffix_dedup.drop_repeated(docs)
+    return suffix_dedup.drop_repeated(docs, length=PASSAGE_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
