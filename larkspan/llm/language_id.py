@@ -7,15 +7,15 @@ log probabilities; that matrix (languages x buckets) is broadcast, its size fixe
 the number of languages. Scoring counts the columns of a text and multiplies the
 counts that are not zero with the matrix.
 
-Training reads at most ``max_rows`` labelled rows, those with the smallest hash of the
-identifier, so that the sample does not depend on the order of the rows.
+Training reads about ``max_rows`` labelled rows at most, those with the smallest hashes of
+the identifier, so that the sample does not depend on the order of the rows.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; so do
 all texts if there is no labelled row. Equal scores go to the language first in
 alphabetical order. The score is the posterior probability of the predicted language,
 per n-gram evidence tempered by ``EVIDENCE``. Rows without a label are predicted, not
 learned from; repeated rows give a row each; further columns are ignored by
-predict() and kept by with_language().
+predict() and kept by keep_identified().
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def counts(text: str) -> np.ndarray:
     """How often each bucket occurs in a whole text."""
     total = np.zeros(BUCKETS, dtype=np.int64)
     for at in range(0, len(text), STEP):
-        # pieces share MAX_N - 1 characters less than a window would need; a few n-grams at the cuts are word ends
+        # a word at a cut counts as two; there is one cut in each STEP characters
         total += np.bincount(columns(text[at : at + STEP]), minlength=BUCKETS)
     return total
 
