@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import text as T
 from larkspan.functions import urls as U
-from larkspan.operators import evaluation, fusion, ocr, rules, scoring, semantic
+from larkspan.operators import dom, evaluation, fusion, ocr, rules, scoring, semantic
 from larkspan.plans import detect
 from larkspan.plans import profile as P
 
@@ -386,6 +386,26 @@ def ai_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TYPES = ("urgency", "info_request", "suspicious_link", "sender_anomaly", "domain_anomaly", "impersonation", "credential_request", "payment_request", "secrecy", "reward_lure")
+_TYPES_SQL = "[" + ", ".join(f"'{t}'" for t in _TYPES) + "]"
+
+
+@query(
+    f"SELECT l_orderkey AS case_id, CAST(greatest(0, {', '.join('CASE WHEN ' + ' AND '.join(f'list_contains(types, {chr(39)}{t}{chr(39)})' for t in kinds) + f' THEN {b} ELSE 0 END' for kinds, b in semantic.PATTERNS)}) AS INTEGER) AS bonus "
+    f"FROM (SELECT l_orderkey, list({_TYPES_SQL}[1 + l_partkey % 10]) AS types FROM lineitem GROUP BY l_orderkey)"
+)
+def composite_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(t) for t in _TYPES])
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.element_at(kinds, (F.col("l_partkey") % 10 + 1).cast("int")).alias("kind"))
+    return rows.groupBy("case_id").agg(F.collect_set("kind").alias("types")).select("case_id", semantic.composite(F.col("types")).alias("bonus"))
+
+
+@query()
+def dom_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", dom.flattened("html", "url").alias("dom"))
+    return rows.select("page_id", F.col("dom.title").alias("title"), F.size("dom.forms").alias("n_forms"), F.size("dom.links").alias("n_links"))
+
+
 _RS_SQL = ", ".join(f"('{k}', {v})" for k, v in semantic.RULE_SCORES.items())
 _RS_IDS = "[" + ", ".join(f"'{k}'" for k in [*semantic.RULE_SCORES, "other"]) + "]"
 

