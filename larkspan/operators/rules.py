@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import text as T
 from larkspan.functions import urls as U
+from larkspan.operators.scoring import let
 from larkspan.plans.profile import MAX_LEVELS, RULES, Profile
 
 _DEFINED = {r[0]: (k, *r[1:]) for k, r in enumerate(RULES)}
@@ -70,7 +71,11 @@ def nested_official(p: Column, profile: Profile) -> Column:
 
 def url_evidence(url: Column, profile: Profile, subject: str = "url:0") -> list[Column]:
     """Evidence of the URL and domain rules for one URL."""
-    p = U.parts(url)
+    return parsed_url_evidence(U.parts(url), profile, subject)
+
+
+def parsed_url_evidence(p: Column, profile: Profile, subject: str = "url:0") -> list[Column]:
+    """The same for the parts of a URL."""
     host, target = p["host"], F.concat_ws("?", p["path"], p["query"])
     official = U.belongs_to(host, profile.official_domains)
     similar = similar_to(host, profile)
@@ -165,7 +170,7 @@ def qr_evidence(urls: Column, profile: Profile) -> list[Column]:
 
 
 def page_evidence(url: Column, page: Column, profile: Profile) -> Column:
-    return gathered(url_evidence(url, profile) + html_evidence(page, U.parts(url)["host"], profile))
+    return let(U.parts(url), lambda p: gathered(parsed_url_evidence(p, profile) + html_evidence(page, p["host"], profile)))
 
 
 def message_evidence(text: Column, profile: Profile) -> Column:
