@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspan.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
 from larkspan.llm.staging import staged
 
-#: Repeated strings of this length go: fewer bytes than fifty words of four letters and a space have.
-PASSAGE_BYTES = 240
+#: Repeated strings of this length go: about the bytes that fifty words of five letters and a space have.
+PASSAGE_BYTES = 300
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
