@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding as reductions over a tree.
 
-A pre-token is halved until single bytes are left. Encodings of neighbouring halves
+A pre-token is halved until single tokens are left (at the latest, bytes). Encodings of neighbouring halves
 are joined at their border: the last tokens of the left half and the first of the
 right half form a window, whose bytes are encoded anew. If the first token of the
 window comes out as it was (or the window reaches the left end), and likewise the
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.pretokens import Memo, batches_of, space_chunks
 
+NONE = 1 << 62
 #: Bytes of a window that is merged by scanning; longer ones take a heap and are not remembered.
 SHORT = 64
 #: Tokens in a leaf of the decoding tree.
@@ -48,7 +49,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class TreeEncoder:
     """Ranks of byte strings, the split pattern, and the tree reductions."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 500_000):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
@@ -67,20 +68,20 @@ class TreeEncoder:
             return found
         if len(piece) > SHORT:
             return self.merged(piece)
-        ranks = self.ranks
-        if piece in ranks:
-            parts = [piece]
-        else:
-            parts = [piece[k : k + 1] for k in range(len(piece))]
-            while len(parts) > 1:
-                best, at = None, -1
-                for k in range(len(parts) - 1):
-                    rank = ranks.get(parts[k] + parts[k + 1])
-                    if rank is not None and (best is None or rank < best):
-                        best, at = rank, k
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank, n = self.ranks.get, len(piece)
+        cuts = list(range(n + 1))
+        pairs = [rank(piece[k : k + 2], NONE) for k in range(n - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NONE:
+                break
+            k = pairs.index(best)
+            del cuts[k + 1], pairs[k]
+            if k:
+                pairs[k - 1] = rank(piece[cuts[k - 1] : cuts[k + 1]], NONE)
+            if k < len(pairs):
+                pairs[k] = rank(piece[cuts[k] : cuts[k + 2]], NONE)
+        parts = [piece[x:y] for x, y in zip(cuts, cuts[1:])]
         if len(self.windows) >= self.remembered:
             self.windows.clear()
         found = self.windows[piece] = tuple([self.own[p] for p in parts])
@@ -123,9 +124,10 @@ class TreeEncoder:
             b = b if right_ok else min(2 * b, len(right))
 
     def reduce(self, piece: bytes) -> tuple[bytes, ...]:
-        """The encoding of a byte string by recursive halves."""
-        if len(piece) == 1:
-            return (piece,)
+        """The encoding of a byte string by recursive halves; a token's bytes encode to the token."""
+        token = self.own.get(piece)
+        if token is not None:
+            return (token,)
         found = self.halves.get(piece)
         if found is not None:
             return found
