@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -46,20 +47,43 @@ ROUNDS = 100
 STEPS = (0.1, 1.0)
 
 
+#: How byte-level vocabularies split a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """A byte-level vocabulary's tokens as bytes. Bytes that do not print stand as the characters from 256 on, in order."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    other = [b for b in range(256) if b not in set(plain)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+    return {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items()}
+
+
 class TokenPieces:
-    """Ids of whole texts from a tokenizer file; chunks of a text are encoded once and remembered."""
+    """Ids of whole texts from a tokenizer file; chunks of a text are encoded once and remembered.
+
+    The ids of a byte-level vocabulary are the ranks of its merges, so that chunks are encoded
+    from the ranks. Texts with a special string go to the tokenizer itself.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        words = {t: k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.ranks = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=byte_ranks(words), special_tokens={})
         self.chunks = Memo(self.encode_many, limit)
 
     def encode_many(self, chunks: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
+        for chunk in chunks:
+            if any(s in chunk for s in self.special):
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            else:
+                ids = self.ranks.encode_ordinary(chunk)
+            yield array("I", ids).tobytes()
 
     def ids_many(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
