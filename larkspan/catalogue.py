@@ -112,7 +112,7 @@ def domain_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIGNS = "(contains(lower(path || '?' || query), 'login') OR contains(lower(path || '?' || query), 'page') OR contains(lower(path || '?' || query), 'ref'))"
 
 
-@query(f"SELECT page_id, CASE WHEN {_SIGNS} THEN 0.75 ELSE 0.3 END AS confidence FROM {_URLS} WHERE lower(raw_scheme) = 'http'")
+@query(f"SELECT page_id, CASE WHEN {_SIGNS} THEN 0.75::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM {_URLS} WHERE lower(raw_scheme) = 'http'")
 def url_non_https(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", rules.url_evidence(F.col("url"), P.DEMO)[2].alias("e"))
     return rows.filter("e IS NOT NULL").select("page_id", F.col("e.confidence").alias("confidence"))
