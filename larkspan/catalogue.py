@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,6 +110,16 @@ def domain_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("page_id", F.levenshtein(own, official).cast("long").alias("distance"), F.round(U.similarity(own, official), 6).alias("similarity"))
 
 
+_CONFUSABLES = (("0", "o"), ("1", "l"), ("w", "vv"))
+_SKELETON = "replace(translate(host, '01', 'ol'), 'w', 'vv')"
+
+
+@query(f"SELECT page_id, {_SKELETON} AS skeleton, NOT {_OFFICIAL} AND {_SKELETON} = 'example.org' AS homograph FROM {_URLS}")
+def confusable_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, profile = F.col("p.host"), dataclasses.replace(P.DEMO, confusables=_CONFUSABLES)
+    return _parsed(spark, sf_dir).select("page_id", T.skeleton(host, _CONFUSABLES).alias("skeleton"), rules.looks_official(host, profile).alias("homograph"))
+
+
 _SIGNS = "(contains(lower(path || '?' || query), 'login') OR contains(lower(path || '?' || query), 'page') OR contains(lower(path || '?' || query), 'ref'))"
 
 

@@ -27,6 +27,19 @@ def strip_invisible(text: Column) -> Column:
     return F.regexp_replace(text, INVISIBLE, "")
 
 
+def skeleton(text: Column, confusables: Sequence[tuple[str, str]]) -> Column:
+    """The text with each confusable character replaced by what it is taken for, all at once; the last entry of a character counts."""
+    table = dict(confusables)
+    single = {s: t for s, t in table.items() if len(t) == 1}
+    longer = {s: t for s, t in table.items() if len(t) != 1}
+    simple = lambda c: F.translate(c, "".join(single), "".join(single.values())) if single else c
+    if not longer:
+        return simple(text)
+    known = F.map_from_arrays(F.array(*map(F.lit, longer)), F.array(*map(F.lit, longer.values())))
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.array_join(F.transform(characters, lambda c: F.coalesce(F.try_element_at(known, c), simple(c))), "")
+
+
 def percent_decode(text: Column, rounds: int = 2) -> Column:
     """Percent decoding that leaves a plus and malformed sequences as they are."""
     for _ in range(rounds):

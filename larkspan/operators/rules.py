@@ -53,6 +53,19 @@ def similar_to(host: Column, profile: Profile) -> Column:
     return F.when(~U.belongs_to(host, profile.official_domains), F.coalesce(*found)) if found else F.lit(None).cast("double")
 
 
+def looks_official(host: Column, profile: Profile) -> Column:
+    """Whether a foreign host has the skeleton of an official domain."""
+    if not profile.confusables:
+        return F.lit(False)
+    seen = let(T.skeleton(host, profile.confusables), lambda s: s.isin(*_skeletons(profile)))
+    return ~U.belongs_to(host, profile.official_domains) & seen
+
+
+def _skeletons(profile: Profile) -> list[str]:
+    table = dict(profile.confusables)
+    return ["".join(table.get(c, c) for c in d) for d in profile.official_domains]
+
+
 def suspicious_port(p: Column, profile: Profile) -> Column:
     excepted = F.lit(False)
     for host, ports in profile.port_exceptions:
@@ -91,6 +104,7 @@ def parsed_url_evidence(p: Column, profile: Profile, subject: str = "url:0") ->
         evidence("URL_NESTED_OFFICIAL_DOMAIN", nested_official(p, profile), subject),
         evidence("DOMAIN_SIMILAR_TO_OFFICIAL", similar.isNotNull(), subject, similar),
         evidence("DOMAIN_PUNYCODE_SUSPICIOUS", host.contains("xn--") & ~official, subject),
+        *([evidence("DOMAIN_HOMOGRAPH_ATTACK", looks_official(host, profile), subject)] if profile.confusables else []),
         evidence("DOMAIN_KEYWORD_IMPERSONATION", ~official & brand & signs_in, subject),
     ]
 

@@ -88,12 +88,16 @@ class Profile:
     brand_words: tuple[str, ...] = ()
     login_words: tuple[str, ...] = ("login", "signin", "verify", "account", "auth", "password")
     wording: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: A character and the text it is taken for; without any, a skeleton is the text itself.
+    confusables: tuple[tuple[str, str], ...] = ()
     dangerous_extensions: tuple[str, ...] = ("exe", "scr", "js", "vbs", "bat", "cmd", "ps1", "jar", "msi", "hta", "lnk")
 
     def __post_init__(self):
         unknown = set(self.wording) - {r[0] for r in RULES}
         if unknown:
             raise ValueError(f"wording for unknown rules: {sorted(unknown)}")
+        if any(len(source) != 1 for source, _ in self.confusables):
+            raise ValueError("a confusable source is one character")
         if any(d != d.lower() or d.startswith(".") for d in (*self.official_domains, *self.short_links)):
             raise ValueError("domains are written in lower case, without a leading dot")
 

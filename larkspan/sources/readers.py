@@ -26,6 +26,22 @@ def samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.explode(F.when(F.ltrim("value").startswith("["), own).otherwise(inner)).alias("s")).select("s.*")
 
 
+#: Entries of a table of confusable characters at most: the characters of Unicode.
+MAX_CONFUSABLES = 0x110000
+
+
+def confusables(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """Pairs (character, what it is taken for) from lines of hexadecimal code points, source ; target ; anything; other lines are skipped."""
+    point = lambda x: F.conv(x, 16, 10).cast("int")
+    line = r"^\s*([0-9A-Fa-f]{1,6})\s*;\s*([0-9A-Fa-f]{1,6}(?:\s+[0-9A-Fa-f]{1,6})*)\s*(?:;.*)?$"
+    rows = spark.read.text(path).filter(F.col("value").rlike(line))
+    rows = rows.select(point(F.regexp_extract("value", line, 1)).alias("source"), F.transform(F.split(F.regexp_extract("value", line, 2), r"\s+"), point).alias("target"))
+    rows = rows.filter(F.col("source") < MAX_CONFUSABLES).filter(F.forall("target", lambda x: x < MAX_CONFUSABLES))
+    # one row a character is left, so that what comes to the driver is bounded by the characters there are
+    rows = rows.groupBy("source").agg(F.max("target").alias("target")).orderBy("source")
+    return tuple((chr(r["source"]), "".join(map(chr, r["target"]))) for r in rows.collect())
+
+
 def duplicate_ids(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

@@ -39,6 +39,20 @@ def test_url_rules_hit(spark, url, rule):
     assert rule in [e["rule_id"] for e in found]
 
 
+def test_confusable_hosts(spark, tmp_path):
+    table = tmp_path / "confusables.txt"
+    table.write_text("# comment\n0441 ;\t0063 ;\tMA\t# es\n1E96 ; 0068 0331 ; MA\nbad ; line\n\n110000 ; 0061 ; MA\n")
+    pairs = readers.confusables(spark, str(table))
+    assert pairs == (("\u0441", "c"), ("\u1e96", "h\u0331"))
+    text = "a\u0441m\u1e96\U0001f600"
+    assert one(spark, T.skeleton(F.lit(text), pairs)) == "acmh\u0331\U0001f600"
+    assert one(spark, T.skeleton(F.lit(text), ())) == text
+    profile = P.Profile(official_domains=("acme.com",), confusables=pairs)
+    rules_of = lambda u: {e["rule_id"] for e in one(spark, rules.gathered(rules.url_evidence(F.lit(u), profile)))}
+    assert "DOMAIN_HOMOGRAPH_ATTACK" in rules_of("https://a\u0441me.com/")
+    assert "DOMAIN_HOMOGRAPH_ATTACK" not in rules_of("https://acme.com/") | rules_of("https://other.com/")
+
+
 def test_url_rules_leave_the_official_site_alone(spark):
     assert one(spark, rules.gathered(rules.url_evidence(F.col("u"), PROFILE)), u="https://www.acme.com/news?id=3") == []
 
