@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspan.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
 from larkspan.llm.staging import staged
 
-#: Repeated strings of this length go: about the bytes that fifty words of five letters and a space have.
-PASSAGE_BYTES = 300
+#: Repeated strings of more than fifty words go.
+PASSAGE_WORDS = 51
+#: The bytes of the shortest of them: words of one letter, and a space between any two.
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings that occur elsewhere in what is left of the corpus."""
-    return suffix_dedup.drop_repeated(docs, length=PASSAGE_BYTES)
+    """Texts without the bytes of strings of over fifty words that occur elsewhere in what is left of the corpus."""
+    return suffix_dedup.drop_repeated(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,20 @@ matches never cross texts; repeated rows with equal identifiers are judged as di
 rows and lose the same bytes; an empty table gives an empty result. Identifiers
 must be unique or their rows equal. Further columns are ignored by repeated_bytes()
 and kept by drop_repeated().
+
+Passages of words. With ``words``, only strings that hold so many whole words at both
+places count; ``length`` is then a lower bound of their bytes. The runs of repeated bytes
+are the candidates, and every stretch of ``words`` words inside them is counted in the
+corpus, so that short matches with different texts do not add up to a long one. A word is a
+run of characters without white space; a character of a script that is written without
+spaces is a word of its own. Next to a passage, white space and the part of a word that
+is repeated with it go too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +50,15 @@ from larkspan.llm import bytehash
 from larkspan.llm.staging import staged
 
 LENGTH = 400
+#: Bytes of an anchor; a third of short strings, so that there is a choice of places.
 ANCHOR = 64
 #: Starts that are examined at once; the low bits of a composite hash hold the place among them.
 BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
+#: UTF-8 of white space, and of characters of scripts without spaces (Thai, Lao, Burmese, Khmer, kana, ideographs).
+_SPACE = rb"[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+_ALONE = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xaf][\x80-\xbf]{2}"
+WORD = re.compile(rb"(?:" + _ALONE + rb")|(?:[!-\x7f]|(?!" + _SPACE + rb"|" + _ALONE + rb")(?:[\x00-\x08\x0e-\x1b]|[\xc2-\xf4][\x80-\xbf]+))+")
 
 
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
@@ -59,9 +73,10 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
 
 def _segments(data: np.ndarray, length: int, base: int) -> tuple[np.ndarray, ...]:
     running = bytehash.sums(data)
-    places = np.arange(len(data) - ANCHOR + 1)
-    hashes = bytehash.stretches(running, places, places + ANCHOR)
-    width = length - ANCHOR + 1
+    anchor = min(ANCHOR, max(length // 3, 1))
+    places = np.arange(len(data) - anchor + 1)
+    hashes = bytehash.stretches(running, places, places + anchor)
+    width = length - anchor + 1
     compound = (hashes & ~_PLACE) | places.astype(np.uint64)
     rows = np.append(compound, np.full(-len(compound) % width, ~np.uint64(0))).reshape(-1, width)
     # the minimum of any window is that of a block's end and of the next block's beginning
@@ -287,6 +302,46 @@ def merged(found: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def passages(data: bytes, runs: list[tuple[int, int]], words: int) -> tuple[np.ndarray, ...]:
+    """(hash, start, end) of each stretch of ``words`` whole words in the runs; start and end take in what the run has of the white space and the cut words beside it."""
+    out = []
+    for a, b in runs:
+        low = data.rfind(b" ", 0, a) + 1
+        high = data.find(b" ", b)
+        found = [m.span() for m in WORD.finditer(data, low, len(data) if high < 0 else high)]
+        inside = [k for k, (x, y) in enumerate(found) if x >= a and y <= b]
+        if len(inside) < words:
+            continue
+        ends = np.array([found[k] for k in inside])
+        first, last = ends[: len(ends) - words + 1, 0], ends[words - 1 :, 1]
+        # up to the word before and after, or to the run's end where it cuts that word
+        before = np.concatenate(([a], ends[: len(first) - 1, 1]))
+        after = np.concatenate((ends[words:, 0], [b]))
+        hashes = bytehash.stretches(bytehash.sums(np.frombuffer(data, np.uint8, b - a, a)), first - a, last - a)
+        out.append((hashes.view(np.int64), before, after))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def word_spans(docs: DataFrame, id_col: str, text_col: str, length: int, words: int) -> DataFrame:
+    """spans() of the strings that hold ``words`` whole words at both places."""
+    runs = spans(docs, id_col, text_col, length)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).join(runs, "id")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, data, own in zip(b["id"], b["data"], b["spans"]):
+                found = pd.DataFrame(dict(zip(("hash", "start", "end"), passages(bytes(data), merged(own), words))))
+                if len(found):
+                    found.insert(0, "id", key)
+                    yield found
+
+    found = staged(rows.mapInPandas(find, f"id {kind}, hash long, start long, end long"), "passages")
+    repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    kept = found.join(repeated, "hash").select("id", F.struct("start", "end").alias("span"))
+    return kept.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+
+
 def without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
     for a, b in gone:
@@ -315,9 +370,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(found, "id", "left").select("id", "data", "spans").mapInPandas(cut, kinds).withColumnRenamed("id", id_col)
 
 
-def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of the texts; a character cut in two goes entirely. All columns stay."""
-    found = spans(docs, id_col, text_col, length).withColumnsRenamed({"id": "__id", "spans": "__spans"})
+def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of the texts; a character cut in two goes entirely. All columns stay.
+
+    With ``words`` only strings of so many whole words count.
+    """
+    found = (word_spans(docs, id_col, text_col, length, words) if words else spans(docs, id_col, text_col, length)).withColumnsRenamed({"id": "__id", "spans": "__spans"})
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, own: pd.Series) -> pd.Series:

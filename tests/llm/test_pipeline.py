@@ -106,3 +106,36 @@ def test_repeats_of_the_tables(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = suffix_dedup.repeated_bytes(docs, length=300).drop("removed").collect()
     assert sorted(map(tuple, got)) == sorted(brute_repeated(rows, 300))
+
+
+def test_passages_of_fifty_one_words(spark, sf_dir):
+    rng = random.Random(9)
+    long = lambda n: [f"unrelated{rng.randrange(10**9)}" for _ in range(n)]
+    short = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(n)]
+    passage, fifty, left, right = short(51), [f"repeated{k}" for k in range(50)], short(40), short(40)
+    ideographs = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60))
+    texts = [
+        " ".join([*long(30), *passage, *long(30)]),
+        " ".join([*passage, *long(40)]),
+        " ".join([*long(30), *fifty, *long(30)]),
+        " ".join([*long(20), *fifty, *long(20)]),
+        # 60 words that two others hold 40 of each: none is of over fifty
+        " ".join([*long(9), *left, *right[20:], *long(9)]),
+        " ".join([*long(9), *left, *long(9)]),
+        " ".join([*long(9), *left[30:], *right[20:], *long(9)]),
+        f"{long(1)[0]} {ideographs} {long(1)[0]}",
+        f"{long(1)[0]} {ideographs} {long(1)[0]}",
+    ]
+    assert len(" ".join(passage)) < 300
+    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, table(spark, list(enumerate(texts))), sf_dir).collect()}
+    for k in (0, 1):
+        assert not set(passage) & set(got[k].split())
+        # the words beside the passage may lose letters that are repeated with it
+        assert len(set(texts[k].split()) - set(passage) - set(got[k].split())) <= 2
+    assert [got[k] for k in range(2, 7)] == texts[2:7]
+    assert not any(set(ideographs) & set(got[k]) for k in (7, 8))
+
+
+def test_whole_words():
+    text = "ab\u00a0c\u3000\u4e2d\u6587d \u0142\u00f3\u017a.\n\u0e01".encode()
+    assert [m.group().decode() for m in suffix_dedup.WORD.finditer(text)] == ["ab", "c", "\u4e2d", "\u6587", "d", "\u0142\u00f3\u017a.", "\u0e01"]
