@@ -27,12 +27,12 @@ _FIELD = StructType([StructField(k, StringType()) for k in _STRINGS])
 _FORM = StructType([StructField("action", StringType()), StructField("target", StringType()), StructField("fields", ArrayType(_FIELD))])
 _LINK = StructType([StructField("href", StringType()), StructField("text", StringType())])
 PAGE = StructType(
-    [StructField("title", StringType()), StructField("forms", ArrayType(_FORM)), StructField("links", ArrayType(_LINK)), StructField("loose_password", BooleanType())]
+    [StructField("title", StringType()), StructField("forms", ArrayType(_FORM)), StructField("links", ArrayType(_LINK)), StructField("loose_password", BooleanType()), StructField("iframes", ArrayType(StringType()))]
 )
 
 
 class _Reader(HTMLParser):
-    """Collects forms with their fields and labels, links with their texts, and the title. A new form ends an open one."""
+    """Collects forms with their fields and labels, links with their texts, addresses of iframes, and the title. A new form ends an open one."""
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
@@ -40,6 +40,7 @@ class _Reader(HTMLParser):
         self.form, self.link, self.label, self.in_title = None, None, None, False
         self.labels: dict[str, str] = {}
         self.loose_password = False
+        self.iframes: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
@@ -57,6 +58,8 @@ class _Reader(HTMLParser):
         elif tag == "a" and "href" in a:
             self.link = {"href": a["href"].strip(), "text": ""}
             self.links.append(self.link)
+        elif tag == "iframe" and "src" in a:
+            self.iframes.append(a["src"])
         elif tag == "label":
             self.label = {"for": a.get("for", ""), "text": ""}
         elif tag == "title":
@@ -89,7 +92,7 @@ class _Reader(HTMLParser):
                 f["label"] = self.labels.get(f["id"]) or (around["text"].strip() if around else "")
         for link in self.links:
             link["text"] = link["text"].strip()
-        return {"title": self.title.strip(), "forms": self.forms, "links": self.links, "loose_password": self.loose_password}
+        return {"title": self.title.strip(), "forms": self.forms, "links": self.links, "loose_password": self.loose_password, "iframes": self.iframes}
 
 
 def read_page(page: str | None, base: str | None) -> dict:
@@ -104,7 +107,7 @@ def read_page(page: str | None, base: str | None) -> dict:
 
 @F.pandas_udf(PAGE)
 def flattened(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
-    """struct(title, forms, links, loose_password) of a page and the URL that it came from."""
+    """struct(title, forms, links, loose_password, iframes) of a page and the URL that it came from."""
     return pd.DataFrame([read_page(p, b) for p, b in zip(pages, bases)], columns=PAGE.names)
 
 
@@ -133,7 +136,7 @@ def brand_signals(dom: Column, page: Column, profile: Profile) -> Column:
 
 
 def form_evidence(dom: Column, url: Column, page: Column, profile: Profile) -> Column:
-    """Evidence array of the form, link and portal rules; one item for each form that a rule hits."""
+    """Evidence array of the form, iframe, link and portal rules; one item for each form, iframe or link that a rule hits."""
     host = U.parts(url)["host"]
     official_page = U.belongs_to(host, profile.official_domains)
 
@@ -159,6 +162,7 @@ def form_evidence(dom: Column, url: Column, page: Column, profile: Profile) -> C
             base=lambda form: F.when(valuable(form), 28).otherwise(5),
             confidence=lambda form: F.when(valuable(form), 0.92).otherwise(0.50),
         ),
+        F.transform(dom["iframes"], lambda src: evidence("IFRAME_LOGIN_PAGE", T.any_word(src, profile.login_words), "page:0")),
         F.transform(dom["links"], lambda x: evidence("LINK_TEXT_HREF_MISMATCH", mismatch(x, host, profile), "page:0")),
         F.array(evidence("PORTAL_BRAND_EXTERNAL_DOMAIN", ~official_page & (brand_signals(dom, page, profile) >= 2), "page:0")),
     ]

@@ -109,8 +109,8 @@ def parsed_url_evidence(p: Column, profile: Profile, subject: str = "url:0") ->
     ]
 
 
-def html_evidence(page: Column, host: Column, profile: Profile) -> list[Column]:
-    """Evidence of the page rules that need no document tree."""
+def html_evidence(page: Column, host: Column, profile: Profile, forms: bool = True) -> list[Column]:
+    """Evidence of the page rules that need no document tree; without ``forms`` those that dom.form_evidence() judges by the tree are left to it."""
     images = F.regexp_count(page, F.lit("(?i)<img\\b"))
     seen = F.length(T.visible_text(page))
     encoded = F.aggregate(
@@ -122,13 +122,16 @@ def html_evidence(page: Column, host: Column, profile: Profile) -> list[Column]:
     outside = F.filter(links, lambda u: U.registered_domain(U.parts(u)["host"]) != U.registered_domain(host))
     ratio = F.size(outside) / F.greatest(F.size(links), F.lit(1))
     hidden = page.rlike("(?i)<(?:form|a)\\b[^>]*(?:display\\s*:\\s*none|visibility\\s*:\\s*hidden|\\shidden\\b)")
-    return [
+    by_tree = [
         evidence("HTML_PASSWORD_INPUT", password, "page:0"),
         evidence("FORM_NON_HTTPS_ACTION", page.rlike("(?i)<form[^>]*action\\s*=\\s*[\"']?http://"), "form:0"),
+        evidence("IFRAME_LOGIN_PAGE", T.any_word(iframes, profile.login_words), "page:0"),
+    ]
+    return [
+        *(by_tree if forms else []),
         evidence("META_REFRESH_REDIRECT", page.rlike(_META_REFRESH), "page:0"),
         evidence("JS_LOCATION_REDIRECT", page.rlike(_SCRIPT_REDIRECT), "page:0"),
         evidence("HIDDEN_FORM_OR_LINK", hidden, "page:0"),
-        evidence("IFRAME_LOGIN_PAGE", T.any_word(iframes, profile.login_words), "page:0"),
         evidence("EXTERNAL_LINK_DOMINANCE", (F.size(links) >= 3) & (ratio >= 0.70), "page:0", F.least(F.lit(0.85), ratio)),
         evidence("HTML_BASE64_IMAGE_HEAVY", (encoded > 2000) & (seen < 100), "page:0"),
         evidence("HTML_IMAGE_ONLY_CONTENT", (images >= 5) & (seen < 100), "page:0"),
@@ -184,7 +187,11 @@ def qr_evidence(urls: Column, profile: Profile) -> list[Column]:
 
 
 def page_evidence(url: Column, page: Column, profile: Profile) -> Column:
-    return let(U.parts(url), lambda p: gathered(parsed_url_evidence(p, profile) + html_evidence(page, p["host"], profile)))
+    """Evidence of a page: its URL, source, forms, links and wording."""
+    from larkspan.operators import dom  # dom builds on this module
+
+    of_source = let(U.parts(url), lambda p: gathered(parsed_url_evidence(p, profile) + html_evidence(page, p["host"], profile, forms=False)))
+    return F.concat(of_source, dom.page_form_evidence(page, url, profile), gathered(wording_evidence(page, profile)))
 
 
 def message_evidence(text: Column, profile: Profile) -> Column:

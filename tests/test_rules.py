@@ -173,6 +173,20 @@ def test_form_rules(spark):
     assert got[1:] == [[("HTML_PASSWORD_INPUT", "low", "page:0")], []]
 
 
+def test_detect_pages_with_forms_and_links(spark):
+    iframes = '<iframe src="/login/a"></iframe><iframe src="/login/b"></iframe><iframe src="/c"></iframe><form><input type=password></form><p>Verify now</p>'
+    rows = spark.createDataFrame([(0, "https://other.org/a", FORM), (1, "https://other.org/a", iframes), (2, None, None)], "page_id long, url string, html string")
+    e = rules.page_evidence(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")), PROFILE)
+    found = [sorted(x["rule_id"] for x in r["e"]) for r in rows.orderBy("page_id").select(e.alias("e")).collect()]
+    assert {"PASSWORD_FORM_UNTRUSTED_TARGET", "FORM_COLLECTS_SENSITIVE_INFO", "FORM_COLLECTS_SECRET", "LINK_TEXT_HREF_MISMATCH", "PORTAL_BRAND_EXTERNAL_DOMAIN"} <= set(found[0])
+    assert found[0].count("HTML_PASSWORD_INPUT") == 1
+    assert found[1] == ["FORM_COLLECTS_SECRET", "HTML_PASSWORD_INPUT", "IFRAME_LOGIN_PAGE", "IFRAME_LOGIN_PAGE", "URGENT_VERIFY_WORDING"]
+    risks = {r["page_id"]: r for r in detect.page_risks(rows, PROFILE).collect()}
+    assert risks[0]["level"] == "critical"
+    assert risks[1]["n_evidence"] == 5
+    assert risks[2]["n_evidence"] == 0
+
+
 def test_composite(spark):
     assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy")))) == 0
     assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy"), F.lit("info_request")))) == 35
