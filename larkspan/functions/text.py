@@ -86,6 +86,12 @@ def normalized(text: Column, is_url: Column) -> Column:
     return F.struct(new.alias("text"), F.array_compact(F.array(*operations)).alias("operations"))
 
 
+def normal_text(text: Column) -> Column:
+    """The text of normalized() for input that is no URL; what the percent layers come from is evaluated once."""
+    plain = strip_invisible(compatibility_form(decode_entities(F.coalesce(text, F.lit("")))))
+    return F.get(F.transform(F.array(plain), lambda t: F.when(t.contains("%"), percent_decode(t)).otherwise(t)), F.lit(0))
+
+
 def visible_text(page: Column) -> Column:
     """Tags as spaces, white space as one space, trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(page, "<[^>]+>", " "), "[ \\t\\r\\n]+", " "))
@@ -119,7 +125,12 @@ def shortened(text: Column, most: int = 160) -> Column:
 
 def spread(word: str) -> str:
     """A pattern of a word with white space or invisible characters between its letters."""
-    return f"(?:\\s|{INVISIBLE})*".join(re.escape(c) for c in word)
+    return f"[\\s{INVISIBLE[1:]}*".join(re.escape(c) for c in word)
+
+
+def any_spread(text: Column, words: Sequence[str]) -> Column:
+    """Whether one of the words occurs in the text in lower case, also with white space or invisible characters between its letters."""
+    return F.lower(text).rlike("(?U)" + "|".join(spread(w.lower()) for w in words)) if words else F.lit(False)
 
 
 def any_word(text: Column, words: Sequence[str]) -> Column:
@@ -143,6 +154,12 @@ def first_sentence_with(text: Column, words: Sequence[str]) -> Column:
     return (F.array_position(hits, True) - 1).cast("int")
 
 
+def first_sentence_with_spread(text: Column, words: Sequence[str]) -> Column:
+    """Zero-based number of the first sentence that has one of the words as any_spread() sees them; 0 if a word only occurs across sentences."""
+    hits = F.transform(sentences(F.lower(text)), lambda s: any_spread(s, words))
+    return F.greatest(F.array_position(hits, True) - 1, F.lit(0)).cast("int")
+
+
 def extension_layers(name: Column) -> Column:
     """Extensions of a file name, the outermost first."""
     parts = F.split(F.lower(F.rtrim(F.regexp_replace(name, "[ .]+$", ""))), "\\.")

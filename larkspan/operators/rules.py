@@ -139,14 +139,14 @@ def html_evidence(page: Column, host: Column, profile: Profile, forms: bool = Tr
 
 
 def wording_evidence(text: Column, profile: Profile, official_context: Column | None = None) -> list[Column]:
-    """Evidence of the wording rules; an official context discounts all but the request for credentials."""
+    """Evidence of the wording rules on normalized text; an official context discounts all but the request for credentials."""
     out = []
     for rule_id, words in profile.wording.items():
         context = F.lit(1.0)
         if official_context is not None and rule_id != "CREDENTIAL_REQUEST_TEXT":
             context = F.when(official_context, 0.2).otherwise(1.0)
-        sentence = F.concat(F.lit("sentence:"), T.first_sentence_with(text, words).cast("string"))
-        out.append(evidence(rule_id, T.any_word(text, words), sentence, context=context))
+        sentence = F.concat(F.lit("sentence:"), T.first_sentence_with_spread(text, words).cast("string"))
+        out.append(evidence(rule_id, T.any_spread(text, words), sentence, context=context))
     return out
 
 
@@ -186,13 +186,24 @@ def qr_evidence(urls: Column, profile: Profile) -> list[Column]:
     ]
 
 
-def page_evidence(url: Column, page: Column, profile: Profile) -> Column:
-    """Evidence of a page: its URL, source, forms, links and wording."""
+def page_evidence(url: Column, page: Column, profile: Profile, normal: Column | None = None) -> Column:
+    """Evidence of a page: its URL, source, forms, links and wording (of its normalized source, where that is given)."""
     from larkspan.operators import dom  # dom builds on this module
 
     of_source = let(U.parts(url), lambda p: gathered(parsed_url_evidence(p, profile) + html_evidence(page, p["host"], profile, forms=False)))
-    return F.concat(of_source, dom.page_form_evidence(page, url, profile), gathered(wording_evidence(page, profile)))
-
-
-def message_evidence(text: Column, profile: Profile) -> Column:
-    return gathered(wording_evidence(text, profile) + [evidence("JS_LOCATION_REDIRECT", text.rlike(_SCRIPT_REDIRECT), "page:0")])
+    return F.concat(of_source, dom.page_form_evidence(page, url, profile), gathered(wording_evidence(page if normal is None else normal, profile)))
+
+
+def message_evidence(
+    text: Column, profile: Profile, sender: Column | None = None, links: Column | None = None, attachments: Column | None = None, qr_urls: Column | None = None
+) -> Column:
+    """Evidence of a message: its normalized text and, where a case has them, its sender, the URLs of its links, names of attachments and URLs of QR codes."""
+    items = wording_evidence(text, profile) + [evidence("JS_LOCATION_REDIRECT", text.rlike(_SCRIPT_REDIRECT), "page:0")]
+    if sender is not None:
+        hosts = F.array().cast("array<string>") if links is None else F.transform(F.coalesce(links, F.array().cast("array<string>")), lambda u: U.parts(u)["host"])
+        items += sender_evidence(F.coalesce(sender, F.lit("")), F.filter(hosts, lambda h: h != ""), profile)
+    if attachments is not None:
+        items += attachment_evidence(F.coalesce(attachments, F.array().cast("array<string>")), profile)
+    if qr_urls is not None:
+        items += qr_evidence(F.coalesce(qr_urls, F.array().cast("array<string>")), profile)
+    return gathered(items)

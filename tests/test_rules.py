@@ -187,6 +187,25 @@ def test_detect_pages_with_forms_and_links(spark):
     assert risks[2]["n_evidence"] == 0
 
 
+DISGUISED = ("verify&#32;now", "ve\u200brify now", "v e r i f y  n o w", "\uff56\uff45\uff52\uff49\uff46\uff59 now", "verify%20now", "veri\nfy now", "Verify now. x")
+
+
+def test_disguised_wording(spark):
+    rows = spark.createDataFrame([*enumerate(DISGUISED), (90, "verified now"), (91, None)], "id long, t string").withColumn("html", F.concat(F.lit("<p>"), F.col("t"), F.lit("</p>")))
+    expected = [(k, 1) for k in range(len(DISGUISED))] + [(90, 0), (91, 0)]
+    got = detect.message_risks(rows, "id", "t", PROFILE)
+    assert sorted((r["id"], r["n_evidence"]) for r in got.collect()) == expected
+    got = detect.page_risks(rows.selectExpr("id AS page_id", "'https://acme.com/' AS url", "html"), PROFILE)
+    assert sorted((r["page_id"], r["n_evidence"]) for r in got.collect()) == expected
+
+
+def test_messages_with_sender_attachments_and_qr(spark):
+    kinds = "id long, t string, s string, l array<string>, a array<string>, q array<string>"
+    rows = spark.createDataFrame([(0, "x", "acme login <x@bad.net>", ["https://evil.org/"], ["a.pdf.exe"], ["https://x.net/login"]), (1, "x", None, None, None, None)], kinds)
+    got = detect.message_risks(rows, "id", "t", PROFILE, sender="s", links="l", attachments="a", qr_urls="q").collect()
+    assert sorted((r["id"], r["n_evidence"]) for r in got) == [(0, 6), (1, 0)]
+
+
 def test_composite(spark):
     assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy")))) == 0
     assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy"), F.lit("info_request")))) == 35
