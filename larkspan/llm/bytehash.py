@@ -1,7 +1,14 @@
-"""Hashes of all stretches of a byte string at once (numpy, modulo 2**64)."""
+"""Hashes of stretches of byte strings.
+
+sums() and stretches() hash all places at once, modulo 2**64. Long strings with a regular pattern
+can be made that share such a hash, so it only chooses places and groups (a collision costs
+time, never a wrong match). digests() is a cryptographic hash and stands for the bytes.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -42,3 +49,9 @@ def stretches(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     inverse = _upto(_P_INVERSE, len(running))
     length = (end - start).astype(np.uint64)
     return mixed((running[end] - running[start]) * inverse[start] + length * np.uint64(0xD6E8FEB86659FD93))
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit digests of the stretches [start, end)."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join([blake2b(view[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist())]), np.int64)

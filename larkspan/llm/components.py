@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.staging import staged
+from larkspan.llm.staging import discard, staged
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,4 +25,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         new = staged(new.join(up, "m").select("u", F.col("label").alias("old"), F.least("m", "above").alias("label")), "labels")
         if new.filter("old <> label").isEmpty():
             return new.select(F.col("u").alias("id"), F.col("label").alias("component_id"))
-        labels = new.select("u", "label")
+        discard(labels)
+        labels = new.drop("old")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.staging import staged
+from larkspan.llm.staging import free_names, staged
 
 #: One or more of space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -86,5 +86,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text an earlier identifier has; its columns stay as they are."""
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    key, sha, other = free_names(docs, "key", "sha", "other")
+    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(key), F.col("text_sha256").alias(other)).distinct()
+    own = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    # by text as well: another text under the same identifier stays
+    return own.join(gone, (own[id_col] == gone[key]) & (own[sha] == gone[other]), "left_anti").select(*docs.columns)

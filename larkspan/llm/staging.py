@@ -16,9 +16,11 @@ ROOT_CONF = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests, local runs)."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and the master is local (tests)."""
     root = spark.conf.get(ROOT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{ROOT_CONF} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="larkspan-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -42,24 +44,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_conf(spark: SparkSession, **values: str):
-    """Context manager: session settings for the duration of a block (keys use ``__`` for dots)."""
-    return _Conf(spark, {k.replace("__", "."): v for k, v in values.items()})
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` has it (upper and lower case are the same)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name)
+    return out
 
 
-class _Conf:
-    def __init__(self, spark: SparkSession, values: dict[str, str]):
-        self.spark, self.values, self.before = spark, values, {}
-
-    def __enter__(self):
-        for key, value in self.values.items():
-            self.before[key] = self.spark.conf.get(key, None)
-            self.spark.conf.set(key, value)
-        return self
-
-    def __exit__(self, *_):
-        for key, value in self.before.items():
-            if value is None:
-                self.spark.conf.unset(key)
-            else:
-                self.spark.conf.set(key, value)
+def discard(df: DataFrame) -> None:
+    """Remove a table that staged() wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
