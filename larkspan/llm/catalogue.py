@@ -23,7 +23,7 @@ def vocabulary(name: str) -> str:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "text")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ distance from them. Equal segments are counted, not carried along: all strings o
 segment that occurs twice are repeated. Where an anchor has several different segments,
 one copy of each goes to a bucket, and is clipped there to the bytes on either side
 of the anchor that it shares with any other one; shorter rests than ``length`` end here.
+The strings around an anchor with more than ``BUCKET`` different segments (a licence line in
+millions of pages) are counted by their digests instead, so that no task gets them all.
 
 Suffix array. What is left of a bucket is one string with a different separator after
 each segment. Its suffixes are sorted in linear time by grouping: groups of suffixes
@@ -47,11 +49,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import bytehash
-from larkspan.llm.staging import staged
+from larkspan.llm.staging import free_names, staged
 
 LENGTH = 400
 #: Bytes of an anchor; a third of short strings, so that there is a choice of places.
 ANCHOR = 64
+#: Different segments of an anchor that are sorted together at most (a segment has under 2 * length bytes).
+BUCKET = 1024
 #: Starts that are examined at once; the low bits of a composite hash hold the place among them.
 BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -62,7 +66,7 @@ WORD = re.compile(rb"(?:" + _ALONE + rb")|(?:[!-\x7f]|(?!" + _SPACE + rb"|" + _A
 
 
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
-    """(anchor hash, digest, anchor place, first start, last start) of the segments of a byte string."""
+    """(anchor hash, digest, anchor's distance from the first start, first start, further starts) of the segments of a byte string."""
     if len(data) < length:
         return None
     out = []
@@ -87,8 +91,8 @@ def _segments(data: np.ndarray, length: int, base: int) -> tuple[np.ndarray, ...
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:], n) - 1
     place = place[first]
-    digest = bytehash.mixed(bytehash.stretches(running, first, last + length) + (place - first).astype(np.uint64))
-    return hashes[place].view(np.int64), digest.view(np.int64), place + base, first + base, last + base
+    digest = bytehash.mixed(bytehash.digests(data.tobytes(), first, last + length).view(np.uint64) + (place - first).astype(np.uint64))
+    return hashes[place].view(np.int64), digest.view(np.int64), (place - first).astype(np.int32), (first + base).astype(np.int32), (last - first).astype(np.int32)
 
 
 def grouped_suffix_array(symbols: list[int]) -> list[int]:
@@ -238,11 +242,13 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).filter(F.octet_length("data") >= length)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    names = ["anchor", "digest", "offset", "first", "more"]
+    kinds = "anchor long, digest long, offset int, first int, more int"
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for key, data in zip(b["id"], b["data"]):
-                names = ("anchor", "digest", "place", "first", "last")
                 found = pd.DataFrame(dict(zip(names, segments(np.frombuffer(data, np.uint8), length))))
                 found.insert(0, "id", key)
                 out.append(found)
@@ -252,28 +258,24 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
             if out:
                 yield pd.concat(out)
 
-    found = staged(rows.mapInPandas(find, f"id {kind}, anchor long, digest long, place long, first long, last long"), "segments")
-    distinct = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "place", "first", "last")).alias("one"))
-    by_anchor = Window.partitionBy("anchor")
-    distinct = staged(
-        distinct.withColumn("kinds", F.count(F.lit(1)).over(by_anchor))
-        .withColumn("fewest", F.min("copies").over(by_anchor))
-        .filter((F.col("copies") > 1) | (F.col("kinds") > 1)),
-        "distinct",
-    )
-    whole = distinct.filter(F.col("copies") > 1).select("anchor", "digest", F.array(F.lit(0)).cast("array<long>").alias("begin"), F.array(F.col("one.last") - F.col("one.first")).alias("end"))
-    wanted = distinct.filter((F.col("kinds") > 1) & (F.col("fewest") == 1)).select("one.*", "anchor", "digest", F.least("copies", F.lit(2)).alias("copies"))
-    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "copies", "place", "first", "last")).alias("cuts"))
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["anchor", "digest", "copies", "offset", "part"]
-        for b in batches:
-            for data, cuts in zip(b["data"], b["cuts"]):
-                out = [(c["anchor"], c["digest"], c["copies"], c["place"] - c["first"], data[c["first"] : c["last"] + length]) for c in cuts]
-                yield pd.DataFrame(out, columns=names)
+    found = staged(rows.mapInPandas(find, f"id {kind}, {kinds}"), "segments")
+    distinct = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "offset", "first", "more")).alias("one"))
+    by_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
+    distinct = staged(distinct.join(by_anchor, "anchor").filter((F.col("copies") > 1) | (F.col("kinds") > 1)), "distinct")
+    whole = distinct.filter(F.col("copies") > 1).select("anchor", "digest", F.array(F.lit(0)).alias("begin"), F.array("one.more").alias("end"))
+    unsure = distinct.filter((F.col("kinds") > 1) & (F.col("fewest") == 1)).select("one.*", "anchor", "digest", F.least("copies", F.lit(2)).cast("int").alias("copies"), "kinds")
+
+    def parts(wanted: DataFrame) -> DataFrame:
+        """Each of the wanted segments with its bytes."""
+        by_text = wanted.groupBy("id").agg(F.collect_list(F.struct(*names, "copies")).alias("cuts"))
+
+        def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for data, cuts in zip(b["data"], b["cuts"]):
+                    out = [(c["anchor"], c["digest"], c["copies"], c["offset"], data[c["first"] : c["first"] + c["more"] + length]) for c in cuts]
+                    yield pd.DataFrame(out, columns=["anchor", "digest", "copies", "offset", "part"])
 
-    parts = rows.join(wanted, "id").select("data", "cuts").mapInPandas(extract, "anchor long, digest long, copies long, offset long, part binary")
-    buckets = parts.groupBy("anchor").agg(F.collect_list(F.struct("digest", "offset", "copies", "part")).alias("parts"))
+        return rows.join(by_text, "id").select("data", "cuts").mapInPandas(extract, "anchor long, digest long, copies int, offset int, part binary")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -283,14 +285,35 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
                 out += [(anchor, p["digest"], [x for x, _ in r], [y for _, y in r]) for p, r in zip(own, runs) if r and p["copies"] == 1]
             yield pd.DataFrame(out, columns=["anchor", "digest", "begin", "end"])
 
-    sorted_ = buckets.mapInPandas(sort, "anchor long, digest long, begin array<long>, end array<long>")
-    repeated = whole.unionByName(sorted_)
-    runs = found.join(repeated, ["anchor", "digest"]).select(
-        "id", F.explode(F.arrays_zip("begin", "end")).alias("r"), "first"
-    ).select("id", F.struct((F.col("first") + F.col("r.begin")).alias("start"), (F.col("first") + F.col("r.end") + length).alias("end")).alias("span"))
+    buckets = parts(unsure.filter(F.col("kinds") <= BUCKET)).groupBy("anchor").agg(F.collect_list(F.struct("digest", "offset", "copies", "part")).alias("parts"))
+    repeated = whole.unionByName(buckets.mapInPandas(sort, "anchor long, digest long, begin array<int>, end array<int>"))
+    common = unsure.filter(F.col("kinds") > BUCKET)
+    if not common.isEmpty():
+        repeated = repeated.unionByName(counted(parts(common), length))
+    runs = found.join(repeated, ["anchor", "digest"]).select("id", F.explode(F.arrays_zip("begin", "end")).alias("r"), "first")
+    runs = runs.select("id", F.struct((F.col("first") + F.col("r.begin")).cast("long").alias("start"), (F.col("first") + F.col("r.end") + length).cast("long").alias("end")).alias("span"))
     return runs.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
+def counted(parts: DataFrame, length: int) -> DataFrame:
+    """(anchor, digest, begin, end) of the repeated starts of segments whose anchor is too common for a bucket.
+
+    Each string is counted by its digest. Counts combine before they are shuffled, and no task
+    holds an anchor's segments.
+    """
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for anchor, digest, copies, part in zip(b["anchor"], b["digest"], b["copies"], b["part"]):
+                at = np.arange(len(part) - length + 1)
+                yield pd.DataFrame({"anchor": anchor, "digest": digest, "copies": copies, "at": at, "string": bytehash.digests(bytes(part), at, at + length)})
+
+    starts = staged(parts.mapInPandas(strings, "anchor long, digest long, copies int, at int, string long"), "strings")
+    twice = starts.groupBy("anchor", "string").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "string")
+    hit = starts.filter("copies = 1").join(twice, ["anchor", "string"]).groupBy("anchor", "digest").agg(F.collect_set("at").alias("begin"))
+    return hit.select("anchor", "digest", "begin", F.col("begin").alias("end"))
+
+
 def merged(found: list) -> list[tuple[int, int]]:
     """Sorted, possibly overlapping runs as runs that are apart."""
     out: list[list[int]] = []
@@ -317,8 +340,7 @@ def passages(data: bytes, runs: list[tuple[int, int]], words: int) -> tuple[np.n
         # up to the word before and after, or to the run's end where it cuts that word
         before = np.concatenate(([a], ends[: len(first) - 1, 1]))
         after = np.concatenate((ends[words:, 0], [b]))
-        hashes = bytehash.stretches(bytehash.sums(np.frombuffer(data, np.uint8, b - a, a)), first - a, last - a)
-        out.append((hashes.view(np.int64), before, after))
+        out.append((bytehash.digests(data, first, last), before, after))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -351,22 +373,26 @@ def without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256, removed (array of [start, end) in bytes)."""
+    """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256, removed (array of [start, end) in bytes), text.
+
+    ``text`` is what is left; a character cut in two goes entirely.
+    """
     found = spans(docs, id_col, text_col, length)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "text"]
         for b in batches:
             out = []
             for key, data, own in zip(b["id"], b["data"], b["spans"]):
                 gone = merged(own) if own is not None else []
                 n = sum(y - x for x, y in gone)
-                out.append((key, len(data), n, len(gone), hashlib.sha256(without(data, gone)).hexdigest(), [list(r) for r in gone]))
+                left = without(data, gone) if gone else bytes(data)
+                out.append((key, len(data), n, len(gone), hashlib.sha256(left).hexdigest(), [list(r) for r in gone], left.decode("utf-8", "ignore")))
             yield pd.DataFrame(out, columns=names)
 
-    kinds = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>"
+    kinds = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>, text string"
     return rows.join(found, "id", "left").select("id", "data", "spans").mapInPandas(cut, kinds).withColumnRenamed("id", id_col)
 
 
@@ -375,13 +401,15 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     With ``words`` only strings of so many whole words count.
     """
-    found = (word_spans(docs, id_col, text_col, length, words) if words else spans(docs, id_col, text_col, length)).withColumnsRenamed({"id": "__id", "spans": "__spans"})
+    found = word_spans(docs, id_col, text_col, length, words) if words else spans(docs, id_col, text_col, length)
+    key, own_spans = free_names(docs, "key", "spans")
+    found = found.withColumnsRenamed({"id": key, "spans": own_spans})
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, own: pd.Series) -> pd.Series:
         out = [t if s is None or t is None else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts, own)]
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, docs[id_col] == found["__id"], "left")
-    cut_text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))
+    joined = docs.join(found, docs[id_col] == found[key], "left")
+    cut_text = F.when(F.col(own_spans).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(own_spans)))
     return joined.withColumn(text_col, cut_text).select(*docs.columns)
