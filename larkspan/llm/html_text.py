@@ -14,7 +14,8 @@ Text is collected in page order, a block for each block element: character refer
 decoded, white space as one space, trimmed, blocks joined by two line feeds.
 
 Defined results: null and empty pages have an empty text; a page without tags is one
-block; repeated rows give a row each. Further columns are ignored.
+block; what follows a tag that does not end is text; repeated rows give a row each. Further
+columns are ignored. A page takes time in proportion to its length, however its tags are nested.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,14 +64,20 @@ PARTS = frozenset("p h1 h2 h3 h4 h5 h6 section ul ol dl table blockquote pre fig
 #: A class such as has-sidebar tells about the page, not about the element.
 ABOUT = frozenset("has with no without layout".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A comment, a tag, or other markup. Quotes count after "=" only. Nothing is tried twice, so that a page takes linear time.
+_TAG = re.compile(
+    r"<(?:!--.*?(?:-->|\Z)"
+    r"|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?P<close>>|\Z)"
+    r"|[!?/][^>]*+(?:>|\Z))",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total", "out", "main")
+    __slots__ = ("tag", "parent", "children", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total", "out", "main", "inside")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
@@ -77,19 +85,52 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.out = self.main = False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+
+
+class Open:
+    """The open elements: the path from the root, and the depths at which each tag is open."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def enter(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def leave(self, depth: int) -> None:
+        """Close the element at ``depth`` and all inside it."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open ``tag``; 0 is the root."""
+        found = self.depths.get(tag)
+        return found[-1] if found else 0
+
+    def outermost(self, tags: set[str], within: set[str]) -> int:
+        """The depth of the first of ``tags`` that is open inside the innermost one of ``within``; 0 without one."""
+        least = max(map(self.last, within))
+        found = (d[k] for d in (self.depths.get(t, []) for t in tags) if (k := bisect_right(d, least)) < len(d))
+        return min(found, default=0)
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order."""
     root = Node("html", None)
-    nodes, here, at, n = [root], root, 0, len(page)
-
-    def close(to: Node) -> Node:
-        return to.parent or root
-
+    nodes, at, n = [root], 0, len(page)
+    opened = Open(root)
     while at < n:
         m = _TAG.search(page, at)
-        if m is None:
+        here = opened.path[-1]
+        if m is None or m["close"] == "":
             here.children.append(page[at:])
             break
         if m.start() > at:
@@ -100,31 +141,19 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         name = name.lower()
         if m["end"]:
-            up = here
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                here = close(up)
+            if depth := opened.last(name):
+                opened.leave(depth)
             elif name == "br":
                 here.children.append(Node("br", here))
             continue
         if name == "html":
             continue
         if name in SIBLINGS:
-            same, stop = SIBLINGS[name]
-            up, last = here, None
-            while up is not root and up.tag not in stop:
-                if up.tag in same:
-                    last = up
-                up = up.parent
-            if last is not None:
-                here = close(last)
-        elif name in ENDS_P:
-            up = here
-            while up is not root and up.tag != "p" and (up.tag not in BLOCK):
-                up = up.parent
-            if up.tag == "p":
-                here = close(up)
+            if depth := opened.outermost(*SIBLINGS[name]):
+                opened.leave(depth)
+        elif name in ENDS_P and opened.blocks and opened.path[opened.blocks[-1]].tag == "p":
+            opened.leave(opened.blocks[-1])
+        here = opened.path[-1]
         node = Node(name, here, m["attrs"] or "")
         here.children.append(node)
         nodes.append(node)
@@ -138,7 +167,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             at = end.end() if end else n
             continue
         if not (m["attrs"] or "").endswith("/") or name in BLOCK:
-            here = node
+            opened.enter(node)
     return root, nodes
 
 
@@ -153,10 +182,7 @@ def excluded(node: Node) -> bool:
     if node.main or node.tag in ("html", "body", "main"):
         return False
     if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
+        return not node.inside
     return bool(node.attrs) and named_otherwise(node)
 
 
@@ -230,7 +256,8 @@ def beside(child: Node | str, best: Node) -> bool:
     """Whether a sibling of the densest node reads like a part of the same article."""
     if isinstance(child, str) or child is best or child.out or not child.chars:
         return True
-    return 2 * child.link_chars <= child.chars and (child.tag in PARTS or 2 * child.density >= best.density)
+    # a short line without links, such as the author's, does not part an article
+    return not child.link_chars or (2 * child.link_chars <= child.chars and (child.tag in PARTS or 2 * child.density >= best.density))
 
 
 def blocks(top: Node, threshold: float) -> list[str]:
