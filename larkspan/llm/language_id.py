@@ -3,9 +3,9 @@
 A text is lower-cased, whatever is not a letter becomes a single space, and the
 n-grams (1 to ``MAX_N`` characters) of the result are hashed into ``BUCKETS``
 columns. Training adds up the columns per language and turns them into smoothed
-log probabilities; that matrix (languages x buckets) is broadcast, its size fixed by
-the number of languages. Scoring counts the columns of a text and multiplies the
-counts that are not zero with the matrix.
+log probabilities; that matrix (languages x buckets) is broadcast, its size bounded by
+``MAX_LANGUAGES``. Scoring counts the columns of a text and multiplies the counts of a batch
+of texts that are not zero with the matrix.
 
 Training reads about ``max_rows`` labelled rows at most, those with the smallest hashes of
 the identifier, so that the sample does not depend on the order of the rows.
@@ -35,34 +35,35 @@ SMOOTHING = 0.5
 EVIDENCE = 1.0 / MAX_N
 #: Labelled rows that training reads at most.
 MAX_ROWS = 20_000
-#: Characters of a text that are hashed at once; counts add up over the whole text.
+#: Labels that training takes at most: with the buckets they bound the matrix that is broadcast (128 MB). More are an error.
+MAX_LANGUAGES = 512
+#: Places of a text whose n-grams are hashed at once; counts add up over the whole text.
 STEP = 1 << 18
+#: Texts that are scored at once.
+BATCH = 256
 UND = "und"
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint32(0x9E3779B1)
 
 
-def columns(text: str) -> np.ndarray:
-    """The bucket of each n-gram of a piece of text."""
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how often each occurs) of the n-grams of a whole text."""
     points = np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), dtype=np.uint32)
-    out = []
-    h = np.zeros(len(points), dtype=np.uint32)
-    for n in range(1, MAX_N + 1):
-        if len(points) < n:
-            break
-        h = h[: len(points) - n + 1] * _MIX + points[n - 1 :] + np.uint32(n)
-        out.append((h * _MIX) >> np.uint32(17))
-    return np.concatenate(out)
-
-
-def counts(text: str) -> np.ndarray:
-    """How often each bucket occurs in a whole text."""
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for at in range(0, len(text), STEP):
-        # a word at a cut counts as two; there is one cut in each STEP characters
-        total += np.bincount(columns(text[at : at + STEP]), minlength=BUCKETS)
-    return total
+    for at in range(0, len(points), STEP):
+        # the n-grams that start here, so that none is cut or counted twice
+        part = points[at : at + STEP + MAX_N - 1]
+        h = np.zeros(len(part), dtype=np.uint32)
+        found = []
+        for n in range(1, MAX_N + 1):
+            if len(part) < n:
+                break
+            h = h[: len(part) - n + 1] * _MIX + part[n - 1 :] + np.uint32(n)
+            found.append((h[:STEP] * _MIX) >> np.uint32(17))
+        total += np.bincount(np.concatenate(found), minlength=BUCKETS)
+    seen = np.flatnonzero(total)
+    return seen, total[seen]
 
 
 class Model:
@@ -74,14 +75,21 @@ class Model:
         self.logs = np.ascontiguousarray(np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).T) if languages else np.zeros((BUCKETS, 0))
         self.prior = np.log(rows / rows.sum()) if languages else np.zeros(0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
-            return UND, 0.0
-        n = counts(text)
-        seen = np.flatnonzero(n)
-        score = self.prior + EVIDENCE * (n[seen] @ self.logs[seen])
-        best = int(np.argmax(score))
-        return self.languages[best], float(1.0 / np.exp(score - score[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text: a sparse product of their counts with the matrix, BATCH texts at once."""
+        out = [(UND, 0.0)] * len(texts)
+        asked = [k for k, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        for at in range(0, len(asked), BATCH):
+            rows = asked[at : at + BATCH]
+            found = [counts(texts[k]) for k in rows]
+            begin = np.cumsum([0] + [len(seen) for seen, _ in found[:-1]])
+            seen, n = (np.concatenate(x) for x in zip(*found))
+            scores = self.prior + EVIDENCE * np.add.reduceat(self.logs[seen] * n[:, None], begin, axis=0)
+            best = scores.argmax(axis=1)
+            sure = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
+            for k, b, p in zip(rows, best.tolist(), sure.tolist()):
+                out[k] = (self.languages[b], p)
+        return out
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
@@ -89,7 +97,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull())
     seed = F.xxhash64(F.lit(7), F.col("id"))
-    n = rows.count()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l").alias("languages")).first()
+    n = facts["n"]
+    if facts["languages"] > MAX_LANGUAGES:
+        raise ValueError(f"{facts['languages']} labels are more than the {MAX_LANGUAGES} languages whose matrix can be broadcast")
     if n > max_rows:
         # the cut of the hash that leaves about max_rows rows: a filter, so that no task sorts the texts
         share = max_rows / n
@@ -101,7 +112,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
             for text, lang in zip(b["t"], b["l"]):
                 if _LETTER.search(text):
                     own = totals.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
-                    own[:BUCKETS] += counts(text)
+                    seen, n = counts(text)
+                    own[seen] += n
                     own[BUCKETS] += 1
         for lang, own in totals.items():
             at = np.flatnonzero(own)
@@ -128,7 +140,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
-            found = [own.predict(t) for t in b["t"]]
+            found = own.predict(b["t"].tolist())
             yield pd.DataFrame({"id": b["id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -149,8 +161,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        found = (own.predict(t) for t in texts)
-        return pd.Series([lang != UND and score >= least for lang, score in found], dtype=bool)
+        return pd.Series([lang != UND and score >= least for lang, score in shared.value.predict(texts.tolist())], dtype=bool)
 
     return docs.filter(known(F.col(text_col)))
