@@ -11,7 +11,8 @@ segment that occurs twice are repeated. Where an anchor has several different se
 one copy of each goes to a bucket, and is clipped there to the bytes on either side
 of the anchor that it shares with any other one; shorter rests than ``length`` end here.
 The strings around an anchor with more than ``BUCKET`` different segments (a licence line in
-millions of pages) are counted by their digests instead, so that no task gets them all.
+millions of pages) go to buckets by the bytes that they share on either side of it, closer and
+closer to whole strings while a bucket is too large, so that no task gets them all.
 
 Suffix array. What is left of a bucket is one string with a different separator after
 each segment. Its suffixes are sorted in linear time by grouping: groups of suffixes
@@ -42,6 +43,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -56,6 +58,8 @@ LENGTH = 400
 ANCHOR = 64
 #: Different segments of an anchor that are sorted together at most (a segment has under 2 * length bytes).
 BUCKET = 1024
+#: Places of the anchor in the strings of a stretch of a common anchor's segments; each divides the one before.
+WIDTHS = (64, 8, 1)
 #: Starts that are examined at once; the low bits of a composite hash hold the place among them.
 BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -289,29 +293,72 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     repeated = whole.unionByName(buckets.mapInPandas(sort, "anchor long, digest long, begin array<int>, end array<int>"))
     common = unsure.filter(F.col("kinds") > BUCKET)
     if not common.isEmpty():
-        repeated = repeated.unionByName(counted(parts(common), length))
+        repeated = repeated.unionByName(common_runs(parts(common), length, sort))
     runs = found.join(repeated, ["anchor", "digest"]).select("id", F.explode(F.arrays_zip("begin", "end")).alias("r"), "first")
     runs = runs.select("id", F.struct((F.col("first") + F.col("r.begin")).cast("long").alias("start"), (F.col("first") + F.col("r.end") + length).cast("long").alias("end")).alias("span"))
     return runs.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
-def counted(parts: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, begin, end) of the repeated starts of segments whose anchor is too common for a bucket.
+def slices(parts: DataFrame, length: int, width: int) -> DataFrame:
+    """The strings of each segment with up to ``width`` different places of the anchor in them, stretch by stretch.
 
-    Each string is counted by its digest. Counts combine before they are shuffled, and no task
-    holds an anchor's segments.
+    ``key`` is a digest of the bytes that all strings of such a stretch have around the anchor,
+    ``content`` one of the whole stretch.
     """
+    anchor_bytes = min(ANCHOR, max(length // 3, 1))
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for anchor, digest, copies, part in zip(b["anchor"], b["digest"], b["copies"], b["part"]):
-                at = np.arange(len(part) - length + 1)
-                yield pd.DataFrame({"anchor": anchor, "digest": digest, "copies": copies, "at": at, "string": bytehash.digests(bytes(part), at, at + length)})
-
-    starts = staged(parts.mapInPandas(strings, "anchor long, digest long, copies int, at int, string long"), "strings")
-    twice = starts.groupBy("anchor", "string").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "string")
-    hit = starts.filter("copies = 1").join(twice, ["anchor", "string"]).groupBy("anchor", "digest").agg(F.collect_set("at").alias("begin"))
-    return hit.select("anchor", "digest", "begin", F.col("begin").alias("end"))
+            out = []
+            for anchor, digest, copies, base, offset, part in zip(b["anchor"], b["digest"], b["copies"], b["base"], b["offset"], b["part"]):
+                part = bytes(part)
+                # a string that starts at s has the anchor offset - s bytes from its start
+                least, most = max(0, offset - (len(part) - length)), min(offset, length - anchor_bytes)
+                for low in range(least - least % width, most + 1, width):
+                    high = min(low + width - 1, length - anchor_bytes)
+                    first, last = offset - min(high, most), offset - max(low, least)
+                    own = part[first : last + length]
+                    around = part[offset - low : offset + length - high]
+                    key = blake2b(around, digest_size=8, salt=low.to_bytes(8, "little"), person=int(anchor).to_bytes(8, "little", signed=True)).digest()
+                    content = blake2b(own, digest_size=8, salt=(offset - first).to_bytes(8, "little")).digest()
+                    out.append((anchor, digest, copies, base + first, offset - first, int.from_bytes(key, "little", signed=True), int.from_bytes(content, "little", signed=True), own))
+            yield pd.DataFrame(out, columns=["anchor", "digest", "copies", "base", "offset", "key", "content", "part"])
+
+    return staged(parts.mapInPandas(cut, "anchor long, digest long, copies int, base int, offset int, key long, content long, part binary"), "slices")
+
+
+def common_runs(parts: DataFrame, length: int, sort) -> DataFrame:
+    """(anchor, digest, begin, end) of the repeated starts of segments whose anchor is too common for one bucket.
+
+    Strings go by the bytes that they share around the anchor to buckets of their own; equal
+    stretches are counted. Where a bucket is still too large, its stretches are cut finer,
+    down to single strings, which need only be counted.
+    """
+    repeated = None
+    parts = parts.withColumn("base", F.lit(0))
+    for width in WIDTHS:
+        own = slices(parts, length, width)
+        kinds = own.groupBy("key", "content").agg(F.sum("copies").alias("same"), F.min("offset").alias("offset"), F.any_value("part").alias("part"))
+        kinds = staged(kinds.join(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")), "key").filter("kinds > 1 OR same > 1"), "kinds")
+        members = own.filter("copies = 1").select("anchor", "digest", "base", "key", "content", (F.octet_length("part") - length).alias("more"))
+        whole = members.join(kinds.filter("same > 1").select("key", "content"), ["key", "content"])
+        found = whole.select("anchor", "digest", F.array("base").alias("begin"), F.array(F.col("base") + F.col("more")).alias("end"))
+        repeated = found if repeated is None else repeated.unionByName(found)
+        if width == 1:
+            break
+        few = kinds.filter(F.col("kinds").between(2, BUCKET)).withColumn("copies", F.least("same", F.lit(2)).cast("int"))
+        buckets = few.select(F.col("key").alias("anchor"), "content", "offset", "copies", "part").groupBy("anchor").agg(F.collect_list(F.struct(F.col("content").alias("digest"), "offset", "copies", "part")).alias("parts"))
+        runs = buckets.mapInPandas(sort, "anchor long, digest long, begin array<int>, end array<int>").select(F.col("anchor").alias("key"), F.col("digest").alias("content"), "begin", "end")
+        moved = lambda c: F.transform(c, lambda x: x + F.col("base")).alias(c)
+        repeated = repeated.unionByName(members.join(runs, ["key", "content"]).select("anchor", "digest", moved("begin"), moved("end")))
+        many = kinds.filter(F.col("kinds") > BUCKET).withColumn("times", F.least("same", F.lit(2)).cast("int"))
+        if many.isEmpty():
+            break
+        # one row of each stretch that occurs twice stands for the others
+        first = F.min_by(F.struct("anchor", "digest", "base"), F.struct("digest", "base"))
+        of = own.groupBy("key", "content").agg(first.alias("one")).select("key", "content", "one.*")
+        parts = many.join(of, ["key", "content"]).select("anchor", "digest", F.col("times").alias("copies"), "base", "offset", "part")
+    return repeated
 
 
 def merged(found: list) -> list[tuple[int, int]]:

@@ -176,6 +176,33 @@ def test_repeated_bytes(spark, length):
     assert sorted(map(tuple, got)) == sorted(brute_repeated(rows, length))
 
 
+@pytest.mark.parametrize("bucket", [2, 6, 40])
+def test_common_anchors(spark, monkeypatch, bucket):
+    """Buckets so small that lines, passages and their edges are cut into stretches and single strings."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    rng = random.Random(11)
+    line, passage = words(rng, 9), words(rng, 70)
+    ends = [words(rng, 4), words(rng, 6)]
+    rows = [(k, f"{words(rng, 30)} {line} {words(rng, 30)}") for k in range(30)]
+    rows += [(k, f"{words(rng, 20)} {rng.choice(ends)} {passage} {rng.choice(ends)} {words(rng, 20)}") for k in range(30, 70)]
+    for length in (120, 300):
+        got = suffix_dedup.repeated_bytes(table(spark, rows), length=length).drop("removed", "text").collect()
+        assert sorted(map(tuple, got)) == sorted(brute_repeated(rows, length))
+
+
+def test_texts_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
+    rng = random.Random(12)
+    passage = words(rng, 300)
+    rows = [(1, f"{words(rng, 900)} {passage} {words(rng, 900)}"), (2, f"{words(rng, 333)} {passage}"), (3, words(rng, 2000))]
+    got = {r.doc_id: r for r in suffix_dedup.repeated_bytes(table(spark, rows)).collect()}
+    assert sorted(tuple(got[k])[:5] for k in got) == sorted(brute_repeated(rows, 400))
+    for k, t in rows:
+        data = t.encode()
+        left = b"".join(data[a:b] for a, b in zip([0] + [y for _, y in got[k].removed], [x for x, _ in got[k].removed] + [len(data)]))
+        assert got[k].text == left.decode()
+
+
 def test_drop_repeated_keeps_columns(spark):
     docs = table(spark, corpus())
     out = suffix_dedup.drop_repeated(docs)
