@@ -35,11 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _load() -> None:
+    """The modules that register more queries here."""
+    from larkspan import catalogue_evaluation, catalogue_semantic  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -417,39 +424,6 @@ def dom_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.col("dom.title").alias("title"), F.size("dom.forms").alias("n_forms"), F.size("dom.links").alias("n_links"))
 
 
-_RS_SQL = ", ".join(f"('{k}', {v})" for k, v in semantic.RULE_SCORES.items())
-_RS_IDS = "[" + ", ".join(f"'{k}'" for k in [*semantic.RULE_SCORES, "other"]) + "]"
-
-
-@query(
-    f"""SELECT l_orderkey AS case_id, CAST(coalesce(max(v), least(100, greatest(5, 25 * count(*) FILTER (l_returnflag = 'R')))) AS INTEGER) AS score
-    FROM (SELECT *, {_RS_IDS}[1 + l_partkey % 12] AS rid FROM lineitem) LEFT JOIN (VALUES {_RS_SQL}) AS s(rid, v) USING (rid) GROUP BY l_orderkey"""
-)
-def ai_rule_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array(*[F.lit(k) for k in [*semantic.RULE_SCORES, "other"]])
-    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.element_at(ids, (F.col("l_partkey") % 12 + 1).cast("int")).alias("rid"), "l_returnflag")
-    cases = found.groupBy("case_id").agg(F.collect_set("rid").alias("rids"), F.count_if(F.col("l_returnflag") == "R").alias("highs"))
-    return cases.select("case_id", semantic.rule_only(F.col("rids"), F.col("highs")).alias("score"))
-
-
-@query(
-    f"""SELECT o_orderkey, CAST(round_even(CASE WHEN rs >= 70 THEN least(rs + 0.15::DOUBLE * ai, 100) WHEN rs >= 40 THEN least(0.6::DOUBLE * rs + 0.4::DOUBLE * ai, 84)
-    WHEN rs >= 20 THEN least(rs + 0.5::DOUBLE * ai, 69) ELSE least(rs + 0.3::DOUBLE * ai, 49) END, 0) AS INTEGER) AS score FROM {_FEATURES}"""
-)
-def ai_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("o_orderkey", semantic.hybrid(F.col("rs"), F.col("ai")).alias("score"))
-
-
-@query(
-    f"""SELECT page_id, contains(authority, '@') AND regexp_extract(authority, '^(.*)@', 1) <> '' AS userinfo, contains(host, 'xn--') AS punycode,
-    string_split(host, '.')[-1] IN ({", ".join(f"'{t}'" for t in semantic.BAD_TLDS)}) AS bad_tld, (contains(host, 'the') OR contains(host, 'ing')) AND NOT {_OFFICIAL} AS impersonation,
-    length(url) > 160 AS "long", lower(raw_scheme) = 'http' AS plain FROM {_URLS}"""
-)
-def url_safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = semantic.url_flags(F.col("url"), P.DEMO.brand_words, P.DEMO.official_domains)
-    return table(spark, sf_dir, "pages").select("page_id", flags.alias("f")).select("page_id", *[F.col(f"f.{c}").alias(c) for c in ("userinfo", "punycode", "bad_tld", "impersonation", "long", "plain")])
-
-
 _HEADER = "event_type || CASE event_id % 4 WHEN 0 THEN ' spf=pass dkim=fail' WHEN 1 THEN ' spf=none' WHEN 2 THEN ' dkim signed' ELSE '' END"
 
 
@@ -493,9 +467,9 @@ def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("quality", "hits", "n", evaluation.wilson(F.col("hits"), F.col("n")).alias("w")).select("quality", "hits", "n", "w.low", "w.high")
 
 
-@query("SELECT count(value) AS n, max(value) AS largest, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events")
+@query("SELECT count(v) AS n, sum(v) AS total, round_even(sum(v) / count(v)::DOUBLE, 2) AS average, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95, max(v) AS largest FROM (SELECT (event_id * 7919) % 1009 AS v FROM events)")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.latencies(table(spark, sf_dir, "events"), "value")
+    return evaluation.latencies(table(spark, sf_dir, "events").select((F.col("event_id") * 7919 % 1009).alias("v")), "v")
 
 
 @query("SELECT quality, doc_id, CAST(pick AS INTEGER) AS pick FROM (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS pick FROM labels) WHERE pick <= 20")

@@ -163,10 +163,14 @@ def first_sentence_with_spread(text: Column, words: Sequence[str]) -> Column:
 def extension_layers(name: Column) -> Column:
     """Extensions of a file name, the outermost first."""
     parts = F.split(F.lower(F.rtrim(F.regexp_replace(name, "[ .]+$", ""))), "\\.")
-    return F.reverse(F.slice(parts, 2, 50))
+    return F.reverse(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))))
 
 
 def evidence_key(quote: Column, kind: Column) -> Column:
     """SHA-256 of the quote without white space, half-width and in lower case, with its type."""
-    flat = F.lower(F.translate(F.regexp_replace(quote, "(?U)\\s+", ""), "：／．？＝＆（），。", ":/.?=&(),."))
-    return F.sha2(F.concat_ws("|", flat, kind), 256)
+    return F.sha2(F.concat_ws("|", evidence_form(quote), kind), 256)
+
+
+def evidence_form(quote: Column) -> Column:
+    """Without white space, some punctuation half-width, in lower case."""
+    return F.lower(F.translate(F.regexp_replace(quote, "(?U)\\s+", ""), "：／．？＝＆（），。", ":/.?=&(),."))
