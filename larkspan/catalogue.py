@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """The modules that register more queries here."""
-    from larkspan import catalogue_evaluation, catalogue_semantic  # noqa: F401
+    from larkspan import catalogue_cases, catalogue_evaluation, catalogue_semantic  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -86,7 +86,7 @@ def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT page_id, lower(raw_scheme) || '://' || host || CASE WHEN port IS NULL OR (lower(raw_scheme) = 'http' AND port = 80) OR (lower(raw_scheme) = 'https' AND port = 443)
-    THEN '' ELSE ':' || port END || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key FROM {_URLS}"""
+    THEN '' ELSE ':' || port END || path || CASE WHEN query = '' THEN '' ELSE '?' || query END || CASE WHEN fragment = '' THEN '' ELSE '#' || fragment END AS url_key FROM {_URLS}"""
 )
 def url_canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.canonical_key(F.col("url")).alias("url_key"))
@@ -130,9 +130,13 @@ def confusable_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIGNS = "(contains(lower(path || '?' || query), 'login') OR contains(lower(path || '?' || query), 'page') OR contains(lower(path || '?' || query), 'ref'))"
 
 
-@query(f"SELECT page_id, CASE WHEN {_SIGNS} THEN 0.75::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM {_URLS} WHERE lower(raw_scheme) = 'http'")
+_PLAIN_FORM = "regexp_matches(html, '(?i)<form[^>]*action\\s*=\\s*[\"'']?http://')"
+
+
+@query(f"SELECT page_id, CASE WHEN {_SIGNS} THEN 0.75::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM {_URLS} WHERE lower(raw_scheme) <> 'https' AND ({_SIGNS} OR {_PLAIN_FORM})")
 def url_non_https(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", rules.url_evidence(F.col("url"), P.DEMO)[2].alias("e"))
+    found = rules.page_evidence(F.col("url"), F.col("html"), P.DEMO)
+    rows = table(spark, sf_dir, "pages").select("page_id", F.get(F.filter(found, lambda e: e["rule_id"] == "URL_NON_HTTPS"), F.lit(0)).alias("e"))
     return rows.filter("e IS NOT NULL").select("page_id", F.col("e.confidence").alias("confidence"))
 
 
@@ -208,10 +212,9 @@ def attachment_ext_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.extension_layers(name), ">").alias("layers"))
 
 
-@query("SELECT doc_id, sha256(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g')) || '|' || lang) AS evidence_key FROM documents WHERE NOT regexp_matches(text, '[：／．？＝＆（），。]')")
+@query("SELECT doc_id, sha256(concat_ws('|', lower(translate(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g'), '：／．？＝＆（），。', ':/.?=&(),.')), lang)) AS evidence_key FROM documents")
 def evidence_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[：／．？＝＆（），。]"))
-    return rows.select("doc_id", T.evidence_key(F.col("text"), F.col("lang")).alias("evidence_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.evidence_key(F.col("text"), F.col("lang")).alias("evidence_key"))
 
 
 @query()
@@ -503,18 +506,19 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH b AS (SELECT image_id, count(*) AS n_blocks, sum(round_even(confidence * 1e6::DOUBLE, 0)) / 1e6::DOUBLE / count(*) AS average, count(*) FILTER (confidence < 0.5) / count(*)::DOUBLE AS u FROM {_BLOCKS} GROUP BY image_id)
-    SELECT image_id, n_blocks, CASE WHEN average < 0.15 OR u >= 0.95 THEN 'insufficient' WHEN average < 0.35 OR u >= 0.8 THEN 'low' WHEN 0.6::DOUBLE * average + 0.4::DOUBLE * (1 - u) < 0.25 THEN 'insufficient'
-    WHEN 0.6::DOUBLE * average + 0.4::DOUBLE * (1 - u) < 0.45 THEN 'low' WHEN 0.6::DOUBLE * average + 0.4::DOUBLE * (1 - u) < 0.65 THEN 'usable' ELSE 'reliable' END AS status FROM b"""
+    SELECT image_id, n_blocks, CASE WHEN average < 0.15 OR u >= 0.95 THEN 'insufficient_evidence' WHEN average < 0.35 OR u >= 0.8 THEN 'low_confidence' WHEN score < 0.25 THEN 'insufficient_evidence'
+    WHEN score < 0.45 THEN 'low_confidence' WHEN score < 0.65 THEN 'usable_with_warnings' ELSE 'reliable' END AS status
+    FROM (SELECT *, round_even(0.25::DOUBLE * least(average / 0.7::DOUBLE, 1) + 0.25::DOUBLE * (1 - u) + 0.2::DOUBLE * least(n_blocks / 20.0::DOUBLE, 1) + 0.3::DOUBLE, 4) AS score FROM b)"""
 )
 def ocr_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.quality(blocks(spark, sf_dir)).select("image_id", "n_blocks", "status")
 
 
 @query(
-    f"""WITH g AS (SELECT *, x - lag(x) OVER w AS gap FROM {_BLOCKS} WINDOW w AS (PARTITION BY image_id ORDER BY x, block_id)),
-    m AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY image_id) AS typical FROM g),
-    c AS (SELECT *, sum(CASE WHEN gap > 2 * greatest(typical, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY x, block_id ROWS UNBOUNDED PRECEDING) AS column_no FROM m)
-    SELECT image_id, block_id, CAST(column_no AS BIGINT) AS column_no, CAST(row_number() OVER (PARTITION BY image_id ORDER BY column_no, y, x, block_id) AS INTEGER) AS reading_order FROM c"""
+    f"""WITH g AS (SELECT *, x - lag(x) OVER (PARTITION BY image_id ORDER BY x, block_id, y) AS gap, x - lag(x) OVER (PARTITION BY image_id ORDER BY block_id, x, y) AS step FROM {_BLOCKS}),
+    m AS (SELECT *, quantile_cont(gap, 0.5) OVER i AS typical, count(*) OVER i >= 3 AND stddev_pop(x) OVER i > 150 AS spread FROM g WINDOW i AS (PARTITION BY image_id)),
+    c AS (SELECT *, sum(CASE WHEN spread AND step > 2 * typical THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY block_id, x, y ROWS UNBOUNDED PRECEDING) AS column_no FROM m)
+    SELECT image_id, block_id, CAST(column_no AS BIGINT) AS column_no, CAST(row_number() OVER (PARTITION BY image_id ORDER BY column_no, y, block_id, x) AS INTEGER) AS reading_order FROM c"""
 )
 def ocr_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.reading_order(blocks(spark, sf_dir)).select("image_id", "block_id", "column_no", "reading_order")
+    return ocr.reading_order(blocks(spark, sf_dir), 600).select("image_id", "block_id", "column_no", "reading_order")

@@ -111,6 +111,40 @@ def redact_phones(text: Column) -> Column:
     return F.regexp_replace(text, "(^|[^0-9])(1[3-9][0-9])[0-9]{4}([0-9]{4})([^0-9]|$)", "$1$2****$3$4")
 
 
+def redact_id_cards(text: Column) -> Column:
+    """Eighteen digits (the last may be X): the middle thirteen are hidden."""
+    return F.when(text.rlike("[0-9]{17}"), F.regexp_replace(text, "(?<![0-9])([0-9]{3})[0-9]{13}([0-9][0-9Xx])(?![0-9Xx])", "$1*************$2")).otherwise(text)
+
+
+def redact_personal(text: Column) -> Column:
+    """Numbers of identity cards and telephones and the local parts of addresses; texts without digits or an @ pass by the patterns."""
+    text = redact_id_cards(text)
+    text = F.when(text.rlike("1[3-9][0-9]{9}"), redact_phones(text)).otherwise(text)
+    return F.when(text.contains("@"), redact_emails(text)).otherwise(text)
+
+
+def redact_url(url: Column) -> Column:
+    return redact_personal(redact_secrets(url))
+
+
+def redact_and_shorten(text: Column, most: int = 160) -> Column:
+    """A matched text on one line, redacted, then cut."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\r\\n]", " ")
+    return shortened(redact_personal(redact_secrets(flat)), most)
+
+
+def mixed_scripts(text: Column) -> Column:
+    """Whether letters of two of the Latin, Cyrillic, Greek and Armenian scripts occur."""
+    ranges = ("A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}", "\\x{400}-\\x{481}\\x{48A}-\\x{4FF}", "\\x{370}-\\x{373}\\x{376}-\\x{37D}\\x{37F}-\\x{3FF}", "\\x{531}-\\x{556}\\x{561}-\\x{587}")
+    return sum((text.rlike(f"[{r}]").cast("int") for r in ranges), F.lit(0)) >= 2
+
+
+def with_recognised(text: Column, recognised: Column) -> Column:
+    """A normalized text and, on a line after it, the normalized text that was read from its image, if any."""
+    more = normal_text(recognised)
+    return F.when(F.coalesce(F.trim(recognised), F.lit("")) == "", normal_text(text)).otherwise(F.concat(normal_text(text), F.lit("\n"), more))
+
+
 def redact_secrets(url: Column) -> Column:
     """Passwords before a host and the values of secret parameters."""
     url = F.regexp_replace(url, "(://[^/@:\\s]*:)[^/@\\s]*(@)", "$1[REDACTED]$2")

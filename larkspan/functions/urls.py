@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from larkspan.plans.profile import TWO_PART_SUFFIXES
 
@@ -35,11 +38,17 @@ def parts(url: Column) -> Column:
 
 
 def registered_domain(host: Column, suffixes: Sequence[str] = TWO_PART_SUFFIXES) -> Column:
-    """The label below the public suffix and the suffix; an IPv4 address is itself."""
+    """The label below the longest of the public ``suffixes`` (of any number of labels) and that suffix; an IPv4 address is itself.
+
+    A host without one of them is taken to have a suffix of one label.
+    """
     labels = F.split(host, "\\.")
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
-    return F.when(host.rlike(_IPV4) | (n <= 2), host).when(last(2).isin(*suffixes), last(3)).otherwise(last(2))
+    found = F.when(host.rlike(_IPV4) | (n <= 2), host)
+    for k in sorted({s.count(".") + 1 for s in suffixes if "." in s}, reverse=True):
+        found = found.when((n >= k) & last(k).isin(*[s for s in suffixes if s.count(".") + 1 == k]), last(k + 1))
+    return found.otherwise(last(2))
 
 
 def subdomain_levels(host: Column) -> Column:
@@ -59,22 +68,135 @@ def belongs_to(host: Column, domains: Sequence[str], itself: bool = True) -> Col
     return found
 
 
-def public_ipv4(host: Column) -> Column:
-    """Whether the host is an IPv4 address outside private, loopback, link-local and reserved ranges."""
-    octet = [F.split_part(host, F.lit("."), F.lit(k)).try_cast("int") for k in (1, 2)]
-    a, b = octet
-    reserved = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
-    return host.rlike(_IPV4) & ~reserved
+def public_ip(host: Column) -> Column:
+    """Whether the host is an IP address that is neither private, loopback, link-local nor reserved for documentation or tests."""
+    a, b, c, d = (F.split_part(host, F.lit("."), F.lit(k)).try_cast("int") for k in (1, 2, 3, 4))
+    address = host.rlike(_IPV4) & (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
+    reserved = (
+        a.isin(0, 10, 127)
+        | (a >= 240)
+        | ((a == 172) & b.between(16, 31))
+        | ((a == 192) & (b == 168))
+        | ((a == 169) & (b == 254))
+        | ((a == 198) & b.isin(18, 19))
+        | ((a == 192) & (b == 0) & c.isin(0, 2))
+        | ((a == 198) & (b == 51) & (c == 100))
+        | ((a == 203) & (b == 0) & (c == 113))
+    )
+    long_address = host.rlike("^\\[[0-9a-f]*:[0-9a-f:.]*\\]$")
+    own = host.rlike("^\\[(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:0?db8:.*|::ffff:.*|100::.*)\\]$")
+    return F.coalesce((address & ~reserved) | (long_address & ~own), F.lit(False))
+
+
+def _decoded(host: str) -> str:
+    labels = [x[4:].encode("ascii").decode("punycode") if x.startswith("xn--") else x for x in host.split(".")]
+    return ".".join(labels).lower()
+
+
+def _try_decoded(host: str | None) -> str | None:
+    try:
+        return host if host is None or "xn--" not in host else _decoded(host)
+    except (UnicodeError, ValueError):
+        return host
+
+
+@F.pandas_udf(StringType())
+def _idna(hosts: pd.Series) -> pd.Series:
+    return hosts.map(_try_decoded, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _idna_all(hosts: pd.Series) -> pd.Series:
+    return hosts.map(lambda h: None if h is None else [_try_decoded(x) for x in h])
+
+
+def decoded_host(host: Column) -> Column:
+    """The host with its xn-- labels decoded; one that cannot be decoded as it is."""
+    return F.when(host.contains("xn--"), _idna(host)).otherwise(host)
+
+
+def decoded_hosts(hosts: Column) -> Column:
+    """decoded_host() of an array. Python runs only where a host needs it."""
+    return F.when(F.exists(hosts, lambda h: h.contains("xn--")), _idna_all(hosts)).otherwise(hosts)
+
+
+@F.pandas_udf(StringType())
+def _joined(bases: pd.Series, links: pd.Series) -> pd.Series:
+    out = []
+    for base, link in zip(bases, links):
+        try:
+            out.append(urljoin(base, link) if base else link)
+        except ValueError:
+            out.append(link)
+    return pd.Series(out, dtype=object)
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A link as an absolute URL on its base; null unless it is one of http or https."""
+    link = F.trim(F.coalesce(link, F.lit("")))
+    full = F.when(link.rlike("^https?://"), link).when(link != "", _joined(F.coalesce(base, F.lit("")), link))
+    return F.when(full.rlike("^https?://"), full)
+
+
+# Characters that are taken off the end of a URL, each for its own purpose.
+TRAILING = {
+    "rules": ".,);!?]}。，；！？）】〉》\"'",
+    "normalizer": ".,:);!?]}。，；：！？）】〉》\"'",
+    "model": ".,;:!?）)】〕〗\"'",
+    "findings": ".,;:!?)】",
+}
+
+
+def without_trailing(url: Column, purpose: str = "rules") -> Column:
+    """A URL without the punctuation after it."""
+    return F.rtrim(url, F.lit(TRAILING[purpose]))
+
 
+def canonical_key(url: Column, host: Column | None = None) -> Column:
+    """The URL with scheme and host in lower case and without a default port; ``host`` replaces a decoded host.
 
-def canonical_key(url: Column) -> Column:
-    """Scheme and host in lower case, default ports and fragments left out, an empty path as a slash."""
+    The user's name and a hidden password stay only where no port is left.
+    """
     p = parts(url)
     default = ((p["scheme"] == "http") & (p["port"] == 80)) | ((p["scheme"] == "https") & (p["port"] == 443))
-    port = F.when(p["port"].isNull() | default, "").otherwise(F.concat(F.lit(":"), p["port"].cast("string")))
-    path = F.when(p["path"] == "", "/").otherwise(p["path"])
+    user, secret = F.regexp_extract(p["userinfo"], "^([^:]*)", 1), F.regexp_extract(p["userinfo"], ":(.+)$", 1)
+    before = F.when(p["userinfo"] == "", "").otherwise(F.concat(user, F.when((user != "") & (secret != ""), ":[REDACTED]").otherwise(""), F.lit("@")))
+    name = p["host"] if host is None else host
+    place = F.when(p["port"].isNotNull() & ~default, F.concat(name, F.lit(":"), p["port"].cast("string"))).otherwise(F.concat(before, name))
     query = F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))
-    return F.concat(p["scheme"], F.lit("://"), p["host"], port, path, query)
+    fragment = F.when(p["fragment"] == "", "").otherwise(F.concat(F.lit("#"), p["fragment"]))
+    return F.concat(p["scheme"], F.lit("://"), place, p["path"], query, fragment)
+
+
+def first_of_each(urls: Column) -> Column:
+    """An array of structs with ``url`` without those whose canonical key an earlier one has; the order stays."""
+    keys = F.transform(urls, lambda u: canonical_key(u["url"]))
+    numbered = F.transform(F.arrays_zip(urls.alias("u"), keys.alias("k")), lambda x, i: F.struct(x["u"].alias("u"), (F.array_position(keys, x["k"]) == i + 1).alias("first")))
+    return F.transform(F.filter(numbered, lambda x: x["first"]), lambda x: x["u"])
+
+
+def in_text(text: Column) -> Column:
+    """The http and https URLs of a text, in order, without trailing punctuation and repeats."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)(https?://[^\\s<>\"'\u3000]+)")), lambda u: F.struct(without_trailing(u).alias("url")))
+    return F.transform(first_of_each(found), lambda u: u["url"])
+
+
+def bare_domains(text: Column, suffixes: Sequence[str]) -> Column:
+    """Domains of distrusted suffixes that a text names without a scheme, as https URLs, in order and once each.
+
+    URLs and e-mail addresses are blanked first; hosts that a URL of the text has are left out, as are version numbers.
+    """
+    blank = lambda c, pattern: F.regexp_replace(c, pattern, " \u0000 ")
+    hosts = F.transform(F.regexp_extract_all(text, F.lit("(?i)(https?://[^\\s<>\"'{}\\[\\]()（）\\x{4E00}-\\x{9FFF}]*)")), lambda u: parts(without_trailing(u, "model"))["host"])
+    rest = blank(blank(text, "(?i)https?://\\S+"), "(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}")
+    label = "[a-zA-Z0-9](?:[-a-zA-Z0-9]*[a-zA-Z0-9])?"
+    pattern = f"(?i)(?<![@\\w.-])({label}(?:\\.{label})*\\.(?:{'|'.join(suffixes)}))(?:/[\\w\\-._~:/?#\\[\\]@!$&()*+,;=%]*)?(?=[\\s\\)\\]\\}},;:!?.。，、：》）“”‘’-]|$)"
+    found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(1))
+    keep = lambda d: ~F.lower(d).rlike("^v[0-9]+\\.[0-9]+") & ~F.array_contains(hosts, F.lower(d))
+    own = F.filter(found, keep)
+    lower = F.transform(own, lambda d: F.lower(d))
+    firsts = F.filter(F.transform(own, lambda d, i: F.when(F.array_position(lower, F.lower(d)) == i + 1, d)), lambda d: d.isNotNull())
+    return F.transform(firsts, lambda d: F.concat(F.lit("https://"), d))
 
 
 def similarity(a: Column, b: Column) -> Column:

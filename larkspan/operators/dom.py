@@ -25,7 +25,7 @@ HIGH_VALUE = ("token", "bank_card", "sms_code", "payment_password")
 _STRINGS = ("tag", "name", "id", "type", "placeholder", "aria_label", "label")
 _FIELD = StructType([StructField(k, StringType()) for k in _STRINGS])
 _FORM = StructType([StructField("action", StringType()), StructField("target", StringType()), StructField("fields", ArrayType(_FIELD))])
-_LINK = StructType([StructField("href", StringType()), StructField("text", StringType())])
+_LINK = StructType([StructField("href", StringType()), StructField("text", StringType()), StructField("target", StringType())])
 PAGE = StructType(
     [StructField("title", StringType()), StructField("forms", ArrayType(_FORM)), StructField("links", ArrayType(_LINK)), StructField("loose_password", BooleanType()), StructField("iframes", ArrayType(StringType()))]
 )
@@ -56,7 +56,7 @@ class _Reader(HTMLParser):
             elif own["type"] == "password":
                 self.loose_password = True
         elif tag == "a" and "href" in a:
-            self.link = {"href": a["href"].strip(), "text": ""}
+            self.link = {"href": a["href"].strip(), "text": "", "target": self.resolved(a["href"].strip())}
             self.links.append(self.link)
         elif tag == "iframe" and "src" in a:
             self.iframes.append(a["src"])
@@ -65,6 +65,12 @@ class _Reader(HTMLParser):
         elif tag == "title":
             self.in_title = True
 
+    def resolved(self, link: str) -> str:
+        try:
+            return urljoin(self.base, link) if self.base else link
+        except ValueError:
+            return link
+
     def handle_endtag(self, tag):
         if tag == "form":
             self.form = None

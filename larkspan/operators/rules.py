@@ -48,11 +48,23 @@ def similar_to(host: Column, profile: Profile) -> Column:
         label, registered = U.core_label(host), U.registered_domain(host)
         close = (F.levenshtein(label, F.lit(core)) == 1) & (F.length(label) <= 8)
         alike = U.similarity(registered, F.lit(official)) >= 0.85
-        inside = (label == core) | host.contains(f"{core}-")
+        inside = host.contains(core)
         found.append(F.when(close, 0.90).when(alike, 0.85).when(inside, 0.80))
     return F.when(~U.belongs_to(host, profile.official_domains), F.coalesce(*found)) if found else F.lit(None).cast("double")
 
 
+def punycode_of(host: Column, decoded: Column, profile: Profile) -> Column:
+    """The confidence with which a foreign xn-- host shows an official domain once decoded, else null; the first official domain wins."""
+    own = U.registered_domain(decoded)
+    seen = T.skeleton(decoded, profile.confusables)
+    found = []
+    for official, look in zip(profile.official_domains, _skeletons(profile)):
+        far = F.levenshtein(own, F.lit(official))
+        found.append(F.when(seen.contains(look) | F.lit(look).contains(seen), 0.95).when((far <= 2) | (U.similarity(own, F.lit(official)) >= 0.80), 0.85))
+    none = F.lit(None).cast("double")
+    return F.when(host.contains("xn--") & (decoded != host) & ~U.belongs_to(host, profile.official_domains), F.coalesce(*found, none)) if found else none
+
+
 def looks_official(host: Column, profile: Profile) -> Column:
     """Whether a foreign host has the skeleton of an official domain."""
     if not profile.confusables:
@@ -82,28 +94,34 @@ def nested_official(p: Column, profile: Profile) -> Column:
     return found
 
 
-def url_evidence(url: Column, profile: Profile, subject: str = "url:0") -> list[Column]:
+def url_evidence(url: Column, profile: Profile, subject: str | Column = "url:0") -> list[Column]:
     """Evidence of the URL and domain rules for one URL."""
-    return parsed_url_evidence(U.parts(url), profile, subject)
+    p = U.parts(url)
+    return parsed_url_evidence(p, profile, subject, U.decoded_host(p["host"]))
 
 
-def parsed_url_evidence(p: Column, profile: Profile, subject: str = "url:0") -> list[Column]:
-    """The same for the parts of a URL."""
+def parsed_url_evidence(p: Column, profile: Profile, subject: str | Column = "url:0", decoded: Column | None = None, plain_form: Column | None = None) -> list[Column]:
+    """The same for the parts of a URL, its decoded host, and whether its case has a form that goes to plain http.
+
+    Without a decoded host the punycode rule cannot judge and gives nothing.
+    """
+    decoded = p["host"] if decoded is None else decoded
+    plain_form = F.lit(False) if plain_form is None else plain_form
     host, target = p["host"], F.concat_ws("?", p["path"], p["query"])
     official = U.belongs_to(host, profile.official_domains)
-    similar = similar_to(host, profile)
+    similar, odd = similar_to(host, profile), punycode_of(host, decoded, profile)
     signs_in, brand = T.any_word(target, profile.login_words), T.any_word(host, profile.brand_words)
     bait = T.any_word(p["userinfo"], [*profile.official_domains, *profile.brand_words])
     return [
-        evidence("URL_IP_DOMAIN", U.public_ipv4(host) & signs_in, subject),
+        evidence("URL_IP_DOMAIN", U.public_ip(host) & signs_in, subject),
         evidence("URL_SHORT_LINK", U.belongs_to(host, profile.short_links), subject),
-        evidence("URL_NON_HTTPS", p["scheme"] == "http", subject, F.when(signs_in, 0.75).otherwise(0.30)),
+        evidence("URL_NON_HTTPS", (p["scheme"] != "https") & (signs_in | plain_form), subject, F.when(signs_in, 0.75).otherwise(0.55)),
         evidence("URL_SUSPICIOUS_PORT", suspicious_port(p, profile), subject),
         evidence("URL_LONG_SUBDOMAIN", U.subdomain_levels(host) > MAX_LEVELS, subject),
         evidence("URL_AT_SYMBOL", (p["userinfo"] != "") & bait & ~official, subject),
         evidence("URL_NESTED_OFFICIAL_DOMAIN", nested_official(p, profile), subject),
         evidence("DOMAIN_SIMILAR_TO_OFFICIAL", similar.isNotNull(), subject, similar),
-        evidence("DOMAIN_PUNYCODE_SUSPICIOUS", host.contains("xn--") & ~official, subject),
+        evidence("DOMAIN_PUNYCODE_SUSPICIOUS", odd.isNotNull(), subject, odd),
         *([evidence("DOMAIN_HOMOGRAPH_ATTACK", looks_official(host, profile), subject)] if profile.confusables else []),
         evidence("DOMAIN_KEYWORD_IMPERSONATION", ~official & brand & signs_in, subject),
     ]
@@ -190,7 +208,9 @@ def page_evidence(url: Column, page: Column, profile: Profile, normal: Column |
     """Evidence of a page: its URL, source, forms, links and wording (of its normalized source, where that is given)."""
     from larkspan.operators import dom  # dom builds on this module
 
-    of_source = let(U.parts(url), lambda p: gathered(parsed_url_evidence(p, profile) + html_evidence(page, p["host"], profile, forms=False)))
+    both = F.struct(U.parts(url).alias("p"), U.decoded_host(U.parts(url)["host"]).alias("decoded"))
+    plain_form = page.rlike("(?i)<form[^>]*action\\s*=\\s*[\"']?http://")
+    of_source = let(both, lambda x: gathered(parsed_url_evidence(x["p"], profile, decoded=x["decoded"], plain_form=plain_form) + html_evidence(page, x["p"]["host"], profile, forms=False)))
     return F.concat(of_source, dom.page_form_evidence(page, url, profile), gathered(wording_evidence(page if normal is None else normal, profile)))
 
 
@@ -207,3 +227,24 @@ def message_evidence(
     if qr_urls is not None:
         items += qr_evidence(F.coalesce(qr_urls, F.array().cast("array<string>")), profile)
     return gathered(items)
+
+
+def service_of(host: Column, services) -> Column:
+    """The name of the first trusted service (name, domains, allowed and forbidden fields) that the host belongs to, else null."""
+    found = [F.when(U.belongs_to(host, domains), F.lit(name)) for name, domains, _, _ in services]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def _field_in(service: Column, field: Column, services, place: int) -> Column:
+    listed = F.lit(False)
+    for entry in services:
+        listed = listed | ((service == entry[0]) & F.lower(field).isin(*[x.lower() for x in entry[place]]))
+    return F.coalesce(listed, F.lit(False))
+
+
+def field_allowed(service: Column, field: Column, services) -> Column:
+    return _field_in(service, field, services, 2)
+
+
+def field_forbidden(service: Column, field: Column, services) -> Column:
+    return _field_in(service, field, services, 3)

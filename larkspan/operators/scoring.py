@@ -7,7 +7,7 @@ evidence rows with joins and windows by case.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,13 +54,14 @@ def gated(raw: Column, most_severe: Column, high_groups: Column, any_medium: Col
     )
 
 
-def active(evidence: Column) -> Column:
-    """Evidence whose rule and subject no other evidence of the case suppresses."""
+def active(evidence: Column, everywhere: Sequence[str] = ()) -> Column:
+    """Evidence whose rule and subject no other evidence of the case suppresses; rules named in ``everywhere`` do so for any subject."""
     pairs = F.create_map(*[x for target in sorted({b for _, b in P.SUPPRESSES}) for x in (F.lit(target), F.array(*[F.lit(a) for a, b in P.SUPPRESSES if b == target]))])
 
     def kept(e: Column) -> Column:
         sources = F.coalesce(F.element_at(pairs, e["rule_id"]), F.array().cast("array<string>"))
-        return ~F.exists(evidence, lambda s: F.array_contains(sources, s["rule_id"]) & s["subject"].eqNullSafe(e["subject"]))
+        same = lambda s: s["subject"].eqNullSafe(e["subject"]) | s["rule_id"].isin(*everywhere) if everywhere else s["subject"].eqNullSafe(e["subject"])
+        return ~F.exists(evidence, lambda s: F.array_contains(sources, s["rule_id"]) & same(s))
 
     return F.filter(evidence, kept)
 
@@ -135,8 +136,20 @@ def scored_arrays(cases: DataFrame, evidence: str = "evidence") -> DataFrame:
     return cases.withColumn("risk", risk(F.col(evidence)))
 
 
-def suppressed_removed(evidence: DataFrame) -> DataFrame:
-    """Evidence rows without those whose (case, rule, subject) is suppressed. Not transitive: all rows may suppress."""
+def suppressed_removed(evidence: DataFrame, everywhere: Sequence[str] = ()) -> DataFrame:
+    """Evidence rows without those whose (case, rule, subject) is suppressed. Not transitive: all rows may suppress.
+
+    Rules named in ``everywhere`` suppress their targets for any subject of the case.
+    """
+    if everywhere:
+        wide = F.broadcast(suppression_table(evidence.sparkSession).filter(F.col("source_rule").isin(*everywhere)))
+        gone = evidence.select("case_id", F.col("rule_id").alias("source_rule")).join(wide, "source_rule").select("case_id", "rule_id").distinct()
+        # what is removed here may still suppress others, so that both removals look at all rows
+        return _suppressed_removed(evidence).join(gone, ["case_id", "rule_id"], "left_anti")
+    return _suppressed_removed(evidence)
+
+
+def _suppressed_removed(evidence: DataFrame) -> DataFrame:
     pairs = F.broadcast(suppression_table(evidence.sparkSession))
     targets = evidence.select("case_id", F.col("rule_id").alias("source_rule"), "subject").join(pairs, "source_rule").select("case_id", "rule_id", "subject").distinct()
     same = (evidence["case_id"] == targets["case_id"]) & (evidence["rule_id"] == targets["rule_id"]) & evidence["subject"].eqNullSafe(targets["subject"])

@@ -6,7 +6,7 @@ operator. ``DEMO`` fits the synthetic tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 # Rule id, group, severity, base score, confidence.
 RULES = (
@@ -90,6 +90,8 @@ class Profile:
     wording: dict[str, tuple[str, ...]] = field(default_factory=dict)
     #: A character and the text it is taken for; without any, a skeleton is the text itself.
     confusables: tuple[tuple[str, str], ...] = ()
+    #: Services of others: name, domains, fields that their forms may ask for, and fields that they may not.
+    trusted_services: tuple[tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]], ...] = ()
     dangerous_extensions: tuple[str, ...] = ("exe", "scr", "js", "vbs", "bat", "cmd", "ps1", "jar", "msi", "hta", "lnk")
 
     def __post_init__(self):
@@ -119,6 +121,45 @@ DEMO = Profile(
 )
 
 
+def profile_of(settings: dict) -> Profile:
+    """A profile from settings as a configuration file has them (lists for tuples, mappings for pairs). Unknown names are an error."""
+    known = {f.name for f in fields(Profile)}
+    if unknown := set(settings) - known:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+
+    def frozen(value):
+        return tuple(frozen(v) for v in value) if isinstance(value, list | tuple) else value
+
+    plain = {k: {r: tuple(w) for r, w in v.items()} if k == "wording" else tuple((a, frozen(b)) for a, b in v.items()) if isinstance(v, dict) else frozen(v) for k, v in settings.items()}
+    return Profile(**plain)
+
+
+def suppressions(settings: dict[str, list | dict]) -> list[tuple[str, str, bool]]:
+    """(source, target, everywhere) of a suppression map: a bare list of targets holds for the same subject."""
+    out = []
+    for source, entry in settings.items():
+        entry = {"suppresses": entry, "scope": "subject"} if isinstance(entry, list) else entry
+        if entry.get("scope", "subject") not in ("subject", "global"):
+            raise ValueError(f"{source}: unknown scope")
+        out += [(source, target, entry.get("scope") == "global") for target in entry["suppresses"]]
+    return out
+
+
+def checked_scoring(floors: tuple, tops: tuple, factors: tuple, caps: dict, medium: float, high: float) -> None:
+    """Raise unless levels cover 0 to 100 without gap or overlap, factors fall from at most 1, caps are 1 to 100 and medium is not above high."""
+    if floors[0] != 0 or tops[-1] != 100 or any(b != a + 1 for a, b in zip(tops, floors[1:])) or any(b < a for a, b in zip(floors, tops)):
+        raise ValueError("levels must cover 0 to 100 without gaps")
+    if any(not 0 < f <= 1 for f in factors) or list(factors) != sorted(factors, reverse=True):
+        raise ValueError("factors must fall and lie in (0, 1]")
+    if any(not 1 <= c <= 100 for c in caps.values()):
+        raise ValueError("caps must lie in 1 to 100")
+    if medium > high:
+        raise ValueError("the medium threshold is above the high one")
+
+
+checked_scoring(FLOORS, TOPS, FACTORS, CAPS, QUALIFIED_MEDIUM, QUALIFIED_HIGH)
+
+
 def validated(rows) -> None:
     """Raise if a rule list names a rule twice, or uses unknown groups or severities."""
     ids = [r[0] for r in rows]

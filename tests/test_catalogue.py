@@ -40,4 +40,4 @@ def test_same_as_sql(spark, duck, sf_dir, name):
 
 
 def test_every_query_has_a_test_or_sql():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"normalize_full", "detect_pages", "detect_documents", "bootstrap_f1", "dom_forms"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"normalize_full", "detect_pages", "detect_documents", "bootstrap_f1", "dom_forms", "detect_cases"}

@@ -24,7 +24,7 @@ def one(spark, column, **values):
     [
         ("http://8.8.8.8/login", "URL_IP_DOMAIN"),
         ("https://sho.rt/x", "URL_SHORT_LINK"),
-        ("http://acme.com/", "URL_NON_HTTPS"),
+        ("http://acme.com/login", "URL_NON_HTTPS"),
         ("https://acme.com:8443/", "URL_SUSPICIOUS_PORT"),
         ("https://a.b.c.d.e.other.com/", "URL_LONG_SUBDOMAIN"),
         ("https://acme.com@evil.net/", "URL_AT_SYMBOL"),
