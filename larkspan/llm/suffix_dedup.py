@@ -51,13 +51,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import bytehash
-from larkspan.llm.staging import free_names, staged
+from larkspan.llm.staging import discard, free_names, staged
 
 LENGTH = 400
 #: Bytes of an anchor; a third of short strings, so that there is a choice of places.
 ANCHOR = 64
 #: Different segments of an anchor that are sorted together at most (a segment has under 2 * length bytes).
 BUCKET = 1024
+#: Parts that the rows of a common passage are spread over.
+RUNS = 64
 #: Places of the anchor in the strings of a stretch of a common anchor's segments; each divides the one before.
 WIDTHS = (64, 8, 1)
 #: Starts that are examined at once; the low bits of a composite hash hold the place among them.
@@ -262,24 +264,27 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
             if out:
                 yield pd.concat(out)
 
-    found = staged(rows.mapInPandas(find, f"id {kind}, {kinds}"), "segments")
+    everything = staged(rows.mapInPandas(find, f"id {kind}, {kinds}"), "segments")
+    # an anchor that occurs once has nothing that repeats, which is so for most of them
+    often = everything.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    found = staged(everything.join(often, "anchor", "left_semi"), "candidates")
+    discard(everything)
     distinct = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "offset", "first", "more")).alias("one"))
     by_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
     distinct = staged(distinct.join(by_anchor, "anchor").filter((F.col("copies") > 1) | (F.col("kinds") > 1)), "distinct")
     whole = distinct.filter(F.col("copies") > 1).select("anchor", "digest", F.array(F.lit(0)).alias("begin"), F.array("one.more").alias("end"))
     unsure = distinct.filter((F.col("kinds") > 1) & (F.col("fewest") == 1)).select("one.*", "anchor", "digest", F.least("copies", F.lit(2)).cast("int").alias("copies"), "kinds")
 
-    def parts(wanted: DataFrame) -> DataFrame:
-        """Each of the wanted segments with its bytes."""
-        by_text = wanted.groupBy("id").agg(F.collect_list(F.struct(*names, "copies")).alias("cuts"))
+    by_text = unsure.groupBy("id").agg(F.collect_list(F.struct(*names, "copies", "kinds")).alias("cuts"))
 
-        def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for data, cuts in zip(b["data"], b["cuts"]):
-                    out = [(c["anchor"], c["digest"], c["copies"], c["offset"], data[c["first"] : c["first"] + c["more"] + length]) for c in cuts]
-                    yield pd.DataFrame(out, columns=["anchor", "digest", "copies", "offset", "part"])
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data, cuts in zip(b["data"], b["cuts"]):
+                out = [(c["anchor"], c["digest"], c["copies"], c["kinds"], c["offset"], data[c["first"] : c["first"] + c["more"] + length]) for c in cuts]
+                yield pd.DataFrame(out, columns=["anchor", "digest", "copies", "kinds", "offset", "part"])
 
-        return rows.join(by_text, "id").select("data", "cuts").mapInPandas(extract, "anchor long, digest long, copies int, offset int, part binary")
+    parts = rows.join(by_text, "id").select("data", "cuts").mapInPandas(extract, "anchor long, digest long, copies int, kinds long, offset int, part binary")
+    parts = staged(parts, "parts")  # read for rare and for common anchors, from one pass over the texts
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -289,11 +294,11 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
                 out += [(anchor, p["digest"], [x for x, _ in r], [y for _, y in r]) for p, r in zip(own, runs) if r and p["copies"] == 1]
             yield pd.DataFrame(out, columns=["anchor", "digest", "begin", "end"])
 
-    buckets = parts(unsure.filter(F.col("kinds") <= BUCKET)).groupBy("anchor").agg(F.collect_list(F.struct("digest", "offset", "copies", "part")).alias("parts"))
+    buckets = parts.filter(F.col("kinds") <= BUCKET).groupBy("anchor").agg(F.collect_list(F.struct("digest", "offset", "copies", "part")).alias("parts"))
     repeated = whole.unionByName(buckets.mapInPandas(sort, "anchor long, digest long, begin array<int>, end array<int>"))
-    common = unsure.filter(F.col("kinds") > BUCKET)
+    common = parts.filter(F.col("kinds") > BUCKET).drop("kinds")
     if not common.isEmpty():
-        repeated = repeated.unionByName(common_runs(parts(common), length, sort))
+        repeated = repeated.unionByName(common_runs(common, length, sort))
     runs = found.join(repeated, ["anchor", "digest"]).select("id", F.explode(F.arrays_zip("begin", "end")).alias("r"), "first")
     runs = runs.select("id", F.struct((F.col("first") + F.col("r.begin")).cast("long").alias("start"), (F.col("first") + F.col("r.end") + length).cast("long").alias("end")).alias("span"))
     return runs.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
@@ -405,9 +410,12 @@ def word_spans(docs: DataFrame, id_col: str, text_col: str, length: int, words:
                     found.insert(0, "id", key)
                     yield found
 
-    found = staged(rows.mapInPandas(find, f"id {kind}, hash long, start long, end long"), "passages")
-    repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    kept = found.join(repeated, "hash").select("id", F.struct("start", "end").alias("span"))
+    found = staged(rows.mapInPandas(find, f"id {kind}, hash long, start int, end int"), "passages").withColumn("run", F.pmod(F.xxhash64("id"), F.lit(RUNS)).cast("int"))
+    # counts go up by (hash, run) and come down the same way, so that a common passage is spread
+    counts = found.groupBy("hash", "run").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
+    down = counts.join(often, "hash", "left_semi").select("hash", "run")
+    kept = found.join(down, ["hash", "run"], "left_semi").select("id", F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).alias("span"))
     return kept.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
