@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm.staging import bounded_batches
+
 BUCKETS = 1 << 15
 MAX_N = 3
 SMOOTHING = 0.5
@@ -39,8 +41,8 @@ MAX_ROWS = 20_000
 MAX_LANGUAGES = 512
 #: Places of a text whose n-grams are hashed at once; counts add up over the whole text.
 STEP = 1 << 18
-#: Texts that are scored at once.
-BATCH = 256
+#: Products that are added up at once: n-grams of a batch of texts, times languages.
+BATCH = 1 << 19
 UND = "und"
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -76,24 +78,34 @@ class Model:
         self.prior = np.log(rows / rows.sum()) if languages else np.zeros(0)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text: a sparse product of their counts with the matrix, BATCH texts at once."""
+        """Language and score of each text: sparse products of the counts of some texts with the matrix, about BATCH numbers at once."""
         out = [(UND, 0.0)] * len(texts)
-        asked = [k for k, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
-        for at in range(0, len(asked), BATCH):
-            rows = asked[at : at + BATCH]
-            found = [counts(texts[k]) for k in rows]
-            begin = np.cumsum([0] + [len(seen) for seen, _ in found[:-1]])
-            seen, n = (np.concatenate(x) for x in zip(*found))
-            scores = self.prior + EVIDENCE * np.add.reduceat(self.logs[seen] * n[:, None], begin, axis=0)
-            best = scores.argmax(axis=1)
-            sure = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
-            for k, b, p in zip(rows, best.tolist(), sure.tolist()):
-                out[k] = (self.languages[b], p)
+        rows: list[int] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for k, t in enumerate(texts):
+            if t and self.languages and _LETTER.search(t):
+                rows.append(k)
+                found.append(counts(t))
+                held += len(found[-1][0]) * len(self.languages)
+            if rows and (held >= BATCH or k == len(texts) - 1):
+                for r, best, sure in zip(rows, *self.scored(found)):
+                    out[r] = (self.languages[best], sure)
+                rows, found, held = [], [], 0
         return out
 
+    def scored(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[float]]:
+        """For the counts of some texts: the number of the best language, and its posterior probability."""
+        begin = np.cumsum([0] + [len(seen) for seen, _ in found[:-1]])
+        seen, n = (np.concatenate(x) for x in zip(*found))
+        scores = self.prior + EVIDENCE * np.add.reduceat(self.logs[seen] * n[:, None], begin, axis=0)
+        sure = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
+        return scores.argmax(axis=1).tolist(), sure.tolist()
+
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """Learn from the rows of ``labelled`` that have a language and a letter."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull())
     seed = F.xxhash64(F.lit(7), F.col("id"))
@@ -135,6 +147,7 @@ def held_out(id_col: str, parts: int = 5) -> Column:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, lang_pred, score. One scan, no shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
