@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm import bytehash, exact_dedup
 from larkspan.llm.components import connected_components
-from larkspan.llm.staging import free_names, staged
+from larkspan.llm.staging import bounded_batches, free_names, staged
 
 RECALL = 0.999
 LEVELS = 4
@@ -241,6 +241,7 @@ def across_blocks(large: DataFrame, components: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept (id_col = component_id)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     n_trees = trees(percent)
     factors, addends = level_hashes(n_trees * LEVELS)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.pretokens import Memo, batches_of, space_chunks
-from larkspan.llm.staging import shuffle_width, staged
+from larkspan.llm.staging import bounded_batches, shuffle_width, staged
 
 #: Parts in which pieces of a length are numbered; with the sequence length it bounds what goes to the driver and back.
 PARTS = 1024
@@ -143,6 +143,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
                     start += n
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long")
 

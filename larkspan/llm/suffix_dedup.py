@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import bytehash
-from larkspan.llm.staging import discard, free_names, staged
+from larkspan.llm.staging import bounded_batches, discard, free_names, staged
 
 LENGTH = 400
 #: Bytes of an anchor; a third of short strings, so that there is a choice of places.
@@ -245,6 +245,7 @@ def repeated_starts(parts: list[tuple[bytes, int, int]], length: int) -> list[li
 
 def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """(id, spans): the runs [start, end) of bytes to remove, sorted and apart, of each text that has any."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).filter(F.octet_length("data") >= length)
     kind = docs.schema[id_col].dataType.simpleString()
 
