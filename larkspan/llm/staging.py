@@ -7,12 +7,16 @@ executor then costs only the tasks that it was running.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT_CONF = "spark.checkpoint.dir"
+#: Whether Spark removes a query's shuffle files when the query ends, rather than when the driver collects garbage.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of rows that a Python worker is handed at once; a longer row comes alone.
 BATCH_BYTES = 4 << 20
@@ -29,15 +33,30 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here leave no shuffle files behind: what they wrote is read from its table from then on."""
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and return a reader of it.
 
-    The table is removed when the session ends.
+    The table is removed when the session ends, if discard() has not done so before.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/larkspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(schema).parquet(path)

@@ -244,7 +244,7 @@ def repeated_starts(parts: list[tuple[bytes, int, int]], length: int) -> list[li
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(id, spans): the runs [start, end) of bytes to remove, sorted and apart, of each text that has any."""
+    """(id, spans): the runs [start, end) of bytes to remove, sorted, of each text that has any; a written table."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).filter(F.octet_length("data") >= length)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -270,9 +270,11 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     often = everything.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     found = staged(everything.join(often, "anchor", "left_semi"), "candidates")
     discard(everything)
+    held = [found]  # tables that are needed until the runs are written
     distinct = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "offset", "first", "more")).alias("one"))
     by_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
     distinct = staged(distinct.join(by_anchor, "anchor").filter((F.col("copies") > 1) | (F.col("kinds") > 1)), "distinct")
+    held.append(distinct)
     whole = distinct.filter(F.col("copies") > 1).select("anchor", "digest", F.array(F.lit(0)).alias("begin"), F.array("one.more").alias("end"))
     unsure = distinct.filter((F.col("kinds") > 1) & (F.col("fewest") == 1)).select("one.*", "anchor", "digest", F.least("copies", F.lit(2)).cast("int").alias("copies"), "kinds")
 
@@ -286,6 +288,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
 
     parts = rows.join(by_text, "id").select("data", "cuts").mapInPandas(extract, "anchor long, digest long, copies int, kinds long, offset int, part binary")
     parts = staged(parts, "parts")  # read for rare and for common anchors, from one pass over the texts
+    held.append(parts)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -299,10 +302,13 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     repeated = whole.unionByName(buckets.mapInPandas(sort, "anchor long, digest long, begin array<int>, end array<int>"))
     common = parts.filter(F.col("kinds") > BUCKET).drop("kinds")
     if not common.isEmpty():
-        repeated = repeated.unionByName(common_runs(common, length, sort))
+        repeated = repeated.unionByName(common_runs(common, length, sort, held))
     runs = found.join(repeated, ["anchor", "digest"]).select("id", F.explode(F.arrays_zip("begin", "end")).alias("r"), "first")
     runs = runs.select("id", F.struct((F.col("first") + F.col("r.begin")).cast("long").alias("start"), (F.col("first") + F.col("r.end") + length).cast("long").alias("end")).alias("span"))
-    return runs.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    runs = staged(runs.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
+    for table in held:
+        discard(table)
+    return runs
 
 
 def slices(parts: DataFrame, length: int, width: int) -> DataFrame:
@@ -333,12 +339,12 @@ def slices(parts: DataFrame, length: int, width: int) -> DataFrame:
     return staged(parts.mapInPandas(cut, "anchor long, digest long, copies int, base int, offset int, key long, content long, part binary"), "slices")
 
 
-def common_runs(parts: DataFrame, length: int, sort) -> DataFrame:
+def common_runs(parts: DataFrame, length: int, sort, held: list[DataFrame]) -> DataFrame:
     """(anchor, digest, begin, end) of the repeated starts of segments whose anchor is too common for one bucket.
 
     Strings go by the bytes that they share around the anchor to buckets of their own; equal
     stretches are counted. Where a bucket is still too large, its stretches are cut finer,
-    down to single strings, which need only be counted.
+    down to single strings, which need only be counted. The tables that the result reads are put into ``held``.
     """
     repeated = None
     parts = parts.withColumn("base", F.lit(0))
@@ -346,6 +352,7 @@ def common_runs(parts: DataFrame, length: int, sort) -> DataFrame:
         own = slices(parts, length, width)
         kinds = own.groupBy("key", "content").agg(F.sum("copies").alias("same"), F.min("offset").alias("offset"), F.any_value("part").alias("part"))
         kinds = staged(kinds.join(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")), "key").filter("kinds > 1 OR same > 1"), "kinds")
+        held += [own, kinds]
         members = own.filter("copies = 1").select("anchor", "digest", "base", "key", "content", (F.octet_length("part") - length).alias("more"))
         whole = members.join(kinds.filter("same > 1").select("key", "content"), ["key", "content"])
         found = whole.select("anchor", "digest", F.array("base").alias("begin"), F.array(F.col("base") + F.col("more")).alias("end"))
