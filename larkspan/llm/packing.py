@@ -78,7 +78,7 @@ class TokenPieces:
     from the ranks. Texts with a special string go to the tokenizer itself.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -142,6 +142,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
                     rows.append((key, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                     start += n
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+        own.chunks.forget()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

@@ -41,6 +41,10 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
+    def forget(self) -> None:
+        """Free what is held; Python workers outlive their tasks."""
+        self.young, self.old = {}, {}
+
     def fill(self, chunks: set) -> dict:
         """A dictionary that has all of ``chunks``; it holds until the next call."""
         young = self.young
