@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from larkspan.functions.text import let
 from larkspan.plans.profile import TWO_PART_SUFFIXES
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -157,7 +158,10 @@ def canonical_key(url: Column, host: Column | None = None) -> Column:
 
     The user's name and a hidden password stay only where no port is left.
     """
-    p = parts(url)
+    return let(parts(url), lambda p: _key_of(p, host))
+
+
+def _key_of(p: Column, host: Column | None) -> Column:
     default = ((p["scheme"] == "http") & (p["port"] == 80)) | ((p["scheme"] == "https") & (p["port"] == 443))
     user, secret = F.regexp_extract(p["userinfo"], "^([^:]*)", 1), F.regexp_extract(p["userinfo"], ":(.+)$", 1)
     before = F.when(p["userinfo"] == "", "").otherwise(F.concat(user, F.when((user != "") & (secret != ""), ":[REDACTED]").otherwise(""), F.lit("@")))
@@ -170,9 +174,11 @@ def canonical_key(url: Column, host: Column | None = None) -> Column:
 
 def first_of_each(urls: Column) -> Column:
     """An array of structs with ``url`` without those whose canonical key an earlier one has; the order stays."""
-    keys = F.transform(urls, lambda u: canonical_key(u["url"]))
-    numbered = F.transform(F.arrays_zip(urls.alias("u"), keys.alias("k")), lambda x, i: F.struct(x["u"].alias("u"), (F.array_position(keys, x["k"]) == i + 1).alias("first")))
-    return F.transform(F.filter(numbered, lambda x: x["first"]), lambda x: x["u"])
+    keyed = lambda us: F.filter(F.transform(us, lambda u, i: F.struct(canonical_key(u["url"]).alias("key"), i.alias("at"))), lambda x: x["key"].isNotNull())
+    # sorted by key and place, the first of each key stands behind another key
+    firsts = lambda xs: F.filter(xs, lambda x, k: (k == 0) | (F.get(xs, k - 1)["key"] != x["key"]))
+    places = lambda us: F.array_sort(F.transform(let(F.array_sort(keyed(us)), firsts), lambda x: x["at"]))
+    return let(urls, lambda us: F.transform(places(us), lambda at: F.get(us, at)))
 
 
 def in_text(text: Column) -> Column:

@@ -102,6 +102,8 @@ class _Reader(HTMLParser):
 
 
 def read_page(page: str | None, base: str | None) -> dict:
+    if not page:
+        return {"title": "", "forms": [], "links": [], "loose_password": False, "iframes": []}
     reader = _Reader(base or "")
     try:
         reader.feed(page or "")
@@ -117,6 +119,10 @@ def flattened(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(p, b) for p, b in zip(pages, bases)], columns=PAGE.names)
 
 
+#: The same for plans that use the struct often: Spark neither puts it in place of each use nor repeats what stands above it for each table of a union.
+flattened_once = F.pandas_udf(flattened.func, PAGE).asNondeterministic()
+
+
 def _searched(field: Column) -> Column:
     return F.lower(F.concat_ws(" ", field["name"], field["id"], field["placeholder"], field["label"], field["aria_label"]))
 
@@ -143,16 +149,22 @@ def brand_signals(dom: Column, page: Column, profile: Profile) -> Column:
 
 def form_evidence(dom: Column, url: Column, page: Column, profile: Profile) -> Column:
     """Evidence array of the form, iframe, link and portal rules; one item for each form, iframe or link that a rule hits."""
-    host = U.parts(url)["host"]
+    facts = F.struct(U.parts(url)["host"].alias("host"), brand_signals(dom, page, profile).alias("signals"))
+    return let(facts, lambda own: _form_evidence(dom, own["host"], own["signals"], profile))
+
+
+def _form_evidence(dom: Column, host: Column, signals: Column, profile: Profile) -> Column:
     official_page = U.belongs_to(host, profile.official_domains)
 
     def per_form(rule_id: str, when, **more) -> Column:
         return F.transform(dom["forms"], lambda form, i: evidence(rule_id, when(form), F.concat(F.lit("form:"), i.cast("string")), **{k: v(form) for k, v in more.items()}))
 
     def untrusted(form: Column) -> Column:
-        target = U.parts(form["target"])["host"]
-        elsewhere = (host != "") & (U.registered_domain(target) != U.registered_domain(host))
-        return has_password(form) & (target != "") & ~U.belongs_to(target, profile.official_domains) & (elsewhere | official_page | (brand_signals(dom, page, profile) >= 1))
+        def reached(target: Column) -> Column:
+            elsewhere = (host != "") & (U.registered_domain(target) != U.registered_domain(host))
+            return (target != "") & ~U.belongs_to(target, profile.official_domains) & (elsewhere | official_page | (signals >= 1))
+
+        return has_password(form) & let(U.parts(form["target"])["host"], reached)
 
     valuable = lambda form: has_word(form, HIGH_VALUE)
     items = [
@@ -170,20 +182,25 @@ def form_evidence(dom: Column, url: Column, page: Column, profile: Profile) -> C
         ),
         F.transform(dom["iframes"], lambda src: evidence("IFRAME_LOGIN_PAGE", T.any_word(src, profile.login_words), "page:0")),
         F.transform(dom["links"], lambda x: evidence("LINK_TEXT_HREF_MISMATCH", mismatch(x, host, profile), "page:0")),
-        F.array(evidence("PORTAL_BRAND_EXTERNAL_DOMAIN", ~official_page & (brand_signals(dom, page, profile) >= 2), "page:0")),
+        F.array(evidence("PORTAL_BRAND_EXTERNAL_DOMAIN", ~official_page & (signals >= 2), "page:0")),
     ]
     return F.array_compact(F.concat(*items))
 
 
 def mismatch(link: Column, host: Column, profile: Profile) -> Column:
     """Whether a link's text shows an official domain and its address leads to another one."""
-    own = U.parts(link["href"])["host"]
-    reached = U.registered_domain(F.when(own == "", host).otherwise(own))
-    shown, other = F.lit(False), F.lit(False)
+    shown = F.lit(False)
     for d in profile.official_domains:
         shown = shown | F.lower(link["text"]).contains(d)
-        other = other | (reached != U.registered_domain(F.lit(d)))
-    return shown & (reached != "") & other
+
+    def elsewhere(reached: Column) -> Column:
+        other = F.lit(False)
+        for d in profile.official_domains:
+            other = other | (reached != U.registered_domain(F.lit(d)))
+        return (reached != "") & other
+
+    own = let(U.parts(link["href"])["host"], lambda h: F.when(h == "", host).otherwise(h))
+    return shown & let(let(own, U.registered_domain), elsewhere)
 
 
 def page_form_evidence(page: Column, url: Column, profile: Profile) -> Column:

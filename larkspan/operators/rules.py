@@ -42,27 +42,37 @@ def gathered(items: list[Column]) -> Column:
 
 def similar_to(host: Column, profile: Profile) -> Column:
     """The confidence with which a foreign host resembles an official domain, else null; the first official domain wins."""
-    found = []
-    for official in profile.official_domains:
-        core = official.split(".")[0]
-        label, registered = U.core_label(host), U.registered_domain(host)
-        close = (F.levenshtein(label, F.lit(core)) == 1) & (F.length(label) <= 8)
-        alike = U.similarity(registered, F.lit(official)) >= 0.85
-        inside = host.contains(core)
-        found.append(F.when(close, 0.90).when(alike, 0.85).when(inside, 0.80))
-    return F.when(~U.belongs_to(host, profile.official_domains), F.coalesce(*found)) if found else F.lit(None).cast("double")
+
+    def best(own: Column) -> Column:
+        found = []
+        for official in profile.official_domains:
+            core = official.split(".")[0]
+            close = (F.levenshtein(own["label"], F.lit(core)) == 1) & (F.length(own["label"]) <= 8)
+            alike = U.similarity(own["registered"], F.lit(official)) >= 0.85
+            inside = host.contains(core)
+            found.append(F.when(close, 0.90).when(alike, 0.85).when(inside, 0.80))
+        return F.coalesce(*found)
+
+    if not profile.official_domains:
+        return F.lit(None).cast("double")
+    own = let(U.registered_domain(host), lambda r: F.struct(F.split_part(r, F.lit("."), F.lit(1)).alias("label"), r.alias("registered")))
+    return F.when(~U.belongs_to(host, profile.official_domains), let(own, best))
 
 
 def punycode_of(host: Column, decoded: Column, profile: Profile) -> Column:
     """The confidence with which a foreign xn-- host shows an official domain once decoded, else null; the first official domain wins."""
-    own = U.registered_domain(decoded)
-    seen = T.skeleton(decoded, profile.confusables)
-    found = []
-    for official, look in zip(profile.official_domains, _skeletons(profile)):
-        far = F.levenshtein(own, F.lit(official))
-        found.append(F.when(seen.contains(look) | F.lit(look).contains(seen), 0.95).when((far <= 2) | (U.similarity(own, F.lit(official)) >= 0.80), 0.85))
-    none = F.lit(None).cast("double")
-    return F.when(host.contains("xn--") & (decoded != host) & ~U.belongs_to(host, profile.official_domains), F.coalesce(*found, none)) if found else none
+
+    def best(x: Column) -> Column:
+        found = []
+        for official, look in zip(profile.official_domains, _skeletons(profile)):
+            far = F.levenshtein(x["own"], F.lit(official))
+            found.append(F.when(x["seen"].contains(look) | F.lit(look).contains(x["seen"]), 0.95).when((far <= 2) | (U.similarity(x["own"], F.lit(official)) >= 0.80), 0.85))
+        return F.coalesce(*found)
+
+    if not profile.official_domains:
+        return F.lit(None).cast("double")
+    shown = F.struct(U.registered_domain(decoded).alias("own"), T.skeleton(decoded, profile.confusables).alias("seen"))
+    return F.when(host.contains("xn--") & (decoded != host) & ~U.belongs_to(host, profile.official_domains), let(shown, best))
 
 
 def looks_official(host: Column, profile: Profile) -> Column:
@@ -120,8 +130,8 @@ def parsed_url_evidence(p: Column, profile: Profile, subject: str | Column = "ur
         evidence("URL_LONG_SUBDOMAIN", U.subdomain_levels(host) > MAX_LEVELS, subject),
         evidence("URL_AT_SYMBOL", (p["userinfo"] != "") & bait & ~official, subject),
         evidence("URL_NESTED_OFFICIAL_DOMAIN", nested_official(p, profile), subject),
-        evidence("DOMAIN_SIMILAR_TO_OFFICIAL", similar.isNotNull(), subject, similar),
-        evidence("DOMAIN_PUNYCODE_SUSPICIOUS", odd.isNotNull(), subject, odd),
+        let(similar, lambda sure: evidence("DOMAIN_SIMILAR_TO_OFFICIAL", sure.isNotNull(), subject, sure)),
+        let(odd, lambda sure: evidence("DOMAIN_PUNYCODE_SUSPICIOUS", sure.isNotNull(), subject, sure)),
         *([evidence("DOMAIN_HOMOGRAPH_ATTACK", looks_official(host, profile), subject)] if profile.confusables else []),
         evidence("DOMAIN_KEYWORD_IMPERSONATION", ~official & brand & signs_in, subject),
     ]
@@ -137,8 +147,8 @@ def html_evidence(page: Column, host: Column, profile: Profile, forms: bool = Tr
     password = page.rlike("(?i)<input[^>]*type\\s*=\\s*[\"']?password")
     iframes = F.array_join(F.regexp_extract_all(page, F.lit("(?i)<iframe[^>]*src\\s*=\\s*[\"']?([^\"' >]*)"), F.lit(1)), " ")
     links = F.regexp_extract_all(page, F.lit("(?i)<a[^>]*href\\s*=\\s*[\"']?(https?://[^\"' >]*)"), F.lit(1))
-    outside = F.filter(links, lambda u: U.registered_domain(U.parts(u)["host"]) != U.registered_domain(host))
-    ratio = F.size(outside) / F.greatest(F.size(links), F.lit(1))
+    outside = lambda urls: let(U.registered_domain(host), lambda own: F.size(F.filter(urls, lambda u: let(U.parts(u)["host"], U.registered_domain) != own)))
+    counted = let(links, lambda urls: F.struct(F.size(urls).alias("all"), (outside(urls) / F.greatest(F.size(urls), F.lit(1))).alias("ratio")))
     hidden = page.rlike("(?i)<(?:form|a)\\b[^>]*(?:display\\s*:\\s*none|visibility\\s*:\\s*hidden|\\shidden\\b)")
     by_tree = [
         evidence("HTML_PASSWORD_INPUT", password, "page:0"),
@@ -150,7 +160,7 @@ def html_evidence(page: Column, host: Column, profile: Profile, forms: bool = Tr
         evidence("META_REFRESH_REDIRECT", page.rlike(_META_REFRESH), "page:0"),
         evidence("JS_LOCATION_REDIRECT", page.rlike(_SCRIPT_REDIRECT), "page:0"),
         evidence("HIDDEN_FORM_OR_LINK", hidden, "page:0"),
-        evidence("EXTERNAL_LINK_DOMINANCE", (F.size(links) >= 3) & (ratio >= 0.70), "page:0", F.least(F.lit(0.85), ratio)),
+        let(counted, lambda n: evidence("EXTERNAL_LINK_DOMINANCE", (n["all"] >= 3) & (n["ratio"] >= 0.70), "page:0", F.least(F.lit(0.85), n["ratio"]))),
         evidence("HTML_BASE64_IMAGE_HEAVY", (encoded > 2000) & (seen < 100), "page:0"),
         evidence("HTML_IMAGE_ONLY_CONTENT", (images >= 5) & (seen < 100), "page:0"),
     ]
@@ -172,12 +182,13 @@ def attachment_evidence(names: Column, profile: Profile) -> list[Column]:
     """Evidence of the attachment rules for an array of file names (the first one that hits)."""
     dangerous = F.array(*[F.lit(x) for x in profile.dangerous_extensions])
     any_layer = F.transform(names, lambda n: F.arrays_overlap(T.extension_layers(n), dangerous))
-    doubled = F.transform(names, lambda n: (F.size(T.extension_layers(n)) >= 2) & F.array_contains(dangerous, F.get(T.extension_layers(n), F.lit(0))))
-    at = lambda flags: F.concat(F.lit("attachment:"), (F.array_position(flags, True) - 1).cast("string"))
-    return [
-        evidence("ATTACHMENT_EXECUTABLE", F.array_contains(any_layer, True), at(any_layer)),
-        evidence("ATTACHMENT_DOUBLE_EXTENSION", F.array_contains(doubled, True), at(doubled)),
-    ]
+    doubled = F.transform(names, lambda n: let(T.extension_layers(n), lambda own: (F.size(own) >= 2) & F.array_contains(dangerous, F.get(own, F.lit(0)))))
+    return [_first_hit("ATTACHMENT_EXECUTABLE", any_layer, "attachment:"), _first_hit("ATTACHMENT_DOUBLE_EXTENSION", doubled, "attachment:")]
+
+
+def _first_hit(rule_id: str, hits: Column, kind: str) -> Column:
+    """Evidence of the first item for which ``hits`` holds, by its place."""
+    return let(hits, lambda flags: evidence(rule_id, F.array_contains(flags, True), F.concat(F.lit(kind), (F.array_position(flags, True) - 1).cast("string"))))
 
 
 def sender_evidence(sender: Column, link_hosts: Column, profile: Profile) -> list[Column]:
@@ -185,23 +196,19 @@ def sender_evidence(sender: Column, link_hosts: Column, profile: Profile) -> lis
     address = F.coalesce(F.nullif(F.regexp_extract(sender, "<([^>]*)>", 1), F.lit("")), sender)
     domain = F.lower(F.regexp_extract(address, "@([^@>\\s]*)\\s*$", 1))
     brand, signs_in = T.any_word(sender, profile.brand_words), T.any_word(sender, profile.login_words)
-    own = U.registered_domain(domain)
-    elsewhere = (F.size(link_hosts) > 0) & F.forall(link_hosts, lambda h: U.registered_domain(h) != own)
+    elsewhere = lambda d: (F.size(link_hosts) > 0) & let(U.registered_domain(d), lambda own: F.forall(link_hosts, lambda h: U.registered_domain(h) != own))
     return [
-        evidence("EMAIL_SENDER_IMPERSONATION", (domain != "") & ~U.belongs_to(domain, profile.official_domains) & brand & signs_in, "sender:0"),
-        evidence("EMAIL_SENDER_LINK_MISMATCH", (domain != "") & elsewhere & (brand | signs_in), "sender:0", F.when(brand & signs_in, 0.75).otherwise(0.60)),
+        let(domain, lambda d: evidence("EMAIL_SENDER_IMPERSONATION", (d != "") & ~U.belongs_to(d, profile.official_domains) & brand & signs_in, "sender:0")),
+        let(domain, lambda d: evidence("EMAIL_SENDER_LINK_MISMATCH", (d != "") & elsewhere(d) & (brand | signs_in), "sender:0", F.when(brand & signs_in, 0.75).otherwise(0.60))),
     ]
 
 
 def qr_evidence(urls: Column, profile: Profile) -> list[Column]:
     """Evidence of the QR rules for an array of decoded URLs (the first one that hits)."""
-    outside = F.transform(urls, lambda u: ~U.belongs_to(U.parts(u)["host"], profile.official_domains))
-    asks = F.transform(urls, lambda u: ~U.belongs_to(U.parts(u)["host"], profile.official_domains) & T.any_word(F.concat_ws("?", U.parts(u)["path"], U.parts(u)["query"]), profile.login_words))
-    at = lambda flags: F.concat(F.lit("qr:"), (F.array_position(flags, True) - 1).cast("string"))
-    return [
-        evidence("QR_CODE_EXTERNAL_URL", F.array_contains(outside, True), at(outside)),
-        evidence("QR_CREDENTIAL_URL", F.array_contains(asks, True), at(asks)),
-    ]
+    foreign = lambda p: ~U.belongs_to(p["host"], profile.official_domains)
+    outside = F.transform(urls, lambda u: let(U.parts(u), foreign))
+    asks = F.transform(urls, lambda u: let(U.parts(u), lambda p: foreign(p) & T.any_word(F.concat_ws("?", p["path"], p["query"]), profile.login_words)))
+    return [_first_hit("QR_CODE_EXTERNAL_URL", outside, "qr:"), _first_hit("QR_CREDENTIAL_URL", asks, "qr:")]
 
 
 def page_evidence(url: Column, page: Column, profile: Profile, normal: Column | None = None) -> Column:

@@ -7,11 +7,12 @@ evidence rows with joins and windows by case.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan.functions.text import let
 from larkspan.plans import profile as P
 
 EVIDENCE = "array<struct<ord:int,rule_id:string,grp:string,severity:string,base:int,confidence:double,context:double,subject:string>>"
@@ -66,11 +67,6 @@ def active(evidence: Column, everywhere: Sequence[str] = ()) -> Column:
     return F.filter(evidence, kept)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def group_points(evidence: Column, group: str) -> Column:
     """The capped points of one group's active evidence."""
     cap = float(P.CAPS[group])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspan.functions import text as T
 from larkspan.functions import urls as U
 from larkspan.operators import dom, rules
-from larkspan.operators.scoring import active, let, risk
+from larkspan.operators.scoring import EVIDENCE, active, let, risk
 from larkspan.plans.profile import DEMO, MAX_BYTES, Profile
 
 TYPES = {"input_text": "string", "input_type": "string", "base_url": "string", "sender": "string", "attachments": "array<string>", "qr_urls": "array<string>", "ocr_text": "string"}
@@ -43,7 +43,7 @@ def prepared(cases: DataFrame, key: str = "case_id") -> DataFrame:
     rows = rows.withColumn("error_code", error_code({k: F.col(k) for k in TYPES}))
     html = F.when(F.col("error_code").isNull() & (F.col("input_type") == "html"), F.col("input_text")).otherwise("")
     text = F.when(F.col("error_code").isNull(), F.col("input_text")).otherwise("")
-    return rows.withColumns({"normal": T.with_recognised(text, F.col("ocr_text")), "html": html}).withColumn("page", dom.flattened("html", F.coalesce("base_url", F.lit(""))))
+    return rows.withColumns({"normal": T.with_recognised(text, F.col("ocr_text")), "html": html}).withColumn("page", dom.flattened_once("html", F.coalesce("base_url", F.lit(""))))
 
 
 def union_of_urls(c) -> Column:
@@ -79,7 +79,7 @@ def official_context(sender: Column, hosts: Column, profile: Profile) -> Column:
     """Whether the sender and every host of a case are official; cases without links need the sender alone."""
     address = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(sender, F.lit("")), "<([^>]*)>", 1), F.lit("")), sender, F.lit(""))
     domain = F.lower(F.regexp_extract(address, "@([^@>\\s]*)\\s*$", 1))
-    return U.belongs_to(domain, profile.official_domains) & F.forall(hosts, lambda h: (h == "") | U.belongs_to(h, profile.official_domains))
+    return let(domain, lambda d: U.belongs_to(d, profile.official_domains)) & F.forall(hosts, lambda h: (h == "") | U.belongs_to(h, profile.official_domains))
 
 
 def evidence_of(c, profile: Profile) -> Column:
@@ -91,7 +91,7 @@ def evidence_of(c, profile: Profile) -> Column:
 
     of_urls = F.flatten(F.transform(F.arrays_zip(c["urls"].alias("u"), c["decoded"].alias("decoded")), of_url))
     base = F.coalesce(c["base_url"], F.lit(""))
-    of_page = F.concat(rules.gathered(rules.html_evidence(c["html"], U.parts(base)["host"], profile, forms=False)), dom.form_evidence(c["page"], base, c["html"], profile))
+    of_page = let(U.parts(base)["host"], lambda host: F.concat(rules.gathered(rules.html_evidence(c["html"], host, profile, forms=False)), dom.form_evidence(c["page"], base, c["html"], profile)))
     scripts = rules.gathered([rules.evidence("JS_LOCATION_REDIRECT", c["normal"].rlike(rules._SCRIPT_REDIRECT), "page:0")])
     context = official_context(c["sender"], c["hosts"], profile)
     seen = F.filter(F.transform(c["urls"], lambda u: F.when(u["kind"] != "qr", U.parts(u["url"])["host"])), lambda h: h.isNotNull() & (h != ""))
@@ -104,7 +104,7 @@ def case_evidence(cases: DataFrame, profile: Profile = DEMO, key: str = "case_id
     """key, error_code, urls, evidence."""
     rows = with_urls(prepared(cases, key))
     c = {k: F.col(k) for k in rows.columns}
-    found = F.filter(evidence_of(c, profile), lambda e: F.col("error_code").isNull())
+    found = F.when(F.col("error_code").isNull(), evidence_of(c, profile)).otherwise(F.array().cast(EVIDENCE))
     return rows.select(key, "error_code", "urls", found.alias("evidence"))
 
 

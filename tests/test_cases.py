@@ -1,5 +1,7 @@
 """Cases of every kind, hosts in Unicode, settings and answers of language models."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,11 @@ def test_null_paths_of_an_answer(spark):
         [f"raw_features.sender.{k}" for k in ("display_name", "reply_to", "claimed_identity", "notes")]
         + ["raw_features.urls[0].registered_domain", "raw_features.urls[1].registered_domain", "raw_features.urls[1].text", "raw_features.content.signature"]
     )
+
+
+def test_many_addresses_in_a_text(spark):
+    own = [f"http://h{k}.example/{k % 7}" for k in range(4000)]
+    text = " ".join([*own, "HTTP://H5.example:80/5", *own])
+    started = time.monotonic()
+    assert first(spark, U.in_text(F.col("t")), t=text) == own
+    assert time.monotonic() - started < 20
