@@ -41,7 +41,8 @@ def detect_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def case_context_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of attachments, senders and QR codes of all cases."""
-    found = C.case_evidence(all_cases(spark, sf_dir)).select("case_id", F.explode("evidence").alias("e")).select("case_id", "e.subject", "e.rule_id")
+    # explode() would add a filter on the evidence's size, for which the evidence is computed once more
+    found = C.case_evidence(all_cases(spark, sf_dir)).select("case_id", F.explode_outer("evidence").alias("e")).select("case_id", "e.subject", "e.rule_id")
     return found.filter(F.col("rule_id").isin("ATTACHMENT_EXECUTABLE", "ATTACHMENT_DOUBLE_EXTENSION", "EMAIL_SENDER_IMPERSONATION", "QR_CODE_EXTERNAL_URL", "QR_CREDENTIAL_URL"))
 
 

@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan import catalogue_cases
 from larkspan.functions import text as T
 from larkspan.functions import urls as U
 from larkspan.operators import rules, semantic
@@ -90,3 +91,10 @@ def test_many_addresses_in_a_text(spark):
     started = time.monotonic()
     assert first(spark, U.in_text(F.col("t")), t=text) == own
     assert time.monotonic() - started < 20
+
+
+def test_plan_of_all_cases_stays_small(spark, sf_dir):
+    found = catalogue_cases.case_context_evidence(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flattened(") == 1
+    assert len(plan) < 500_000
