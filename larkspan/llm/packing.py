@@ -31,15 +31,13 @@ import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.pretokens import Memo, batches_of, space_chunks
 from larkspan.llm.staging import bounded_batches, shuffle_width, staged
 
 #: Parts in which pieces of a length are numbered; with the sequence length it bounds what goes to the driver and back.
@@ -72,13 +70,13 @@ def refuse_other_kinds(settings: dict) -> None:
 
 
 class TokenPieces:
-    """Ids of whole texts from a tokenizer file; chunks of a text are encoded once and remembered.
+    """Ids of whole texts from a tokenizer file. Nothing is remembered between texts: looking up words costs more than merging them.
 
-    The ids of a byte-level vocabulary are the ranks of its merges, so that chunks are encoded
+    The ids of a byte-level vocabulary are the ranks of its merges, so that texts are encoded
     from the ranks. Texts with a special string go to the tokenizer itself.
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -88,24 +86,16 @@ class TokenPieces:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         words = {t: k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
         self.ranks = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=byte_ranks(words), special_tokens={})
-        self.chunks = Memo(self.encode_many, limit)
 
-    def encode_many(self, chunks: list[str]) -> Iterator[bytes]:
-        for chunk in chunks:
-            if any(s in chunk for s in self.special):
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+    def ids_many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        for text in texts:
+            if any(s in text for s in self.special):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
-                ids = self.ranks.encode_ordinary(chunk)
+                ids = self.ranks.encode_ordinary(text)
             yield array("I", ids).tobytes()
 
-    def ids_many(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        # a special string can lie across a cut, so such a text is one chunk
-        cut = [[t] if any(s in t for s in self.special) else space_chunks(t) for t in texts]
-        known = self.chunks.fill(set(chain.from_iterable(cut)))
-        for chunks in cut:
-            yield b"".join([known[c] for c in chunks])
-
 
 _TOKENIZERS: dict[str, TokenPieces] = {}
 
@@ -134,15 +124,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
         own = tokenizer(path)
         for b in batches:
             rows = []
-            texts = chain.from_iterable(own.ids_many(part) for part in batches_of(b["t"]))
-            for key, ids in zip(b["id"], texts):
+            for key, ids in zip(b["id"], own.ids_many(b["t"])):
                 ids += end
                 start = 0
                 for k, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     rows.append((key, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                     start += n
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-        own.chunks.forget()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

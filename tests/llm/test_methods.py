@@ -186,3 +186,19 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         staging.shared_root(Session)
+
+
+def test_encoding_costs_no_more_than_the_merges():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = packing.TokenPieces(path)
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(10**9):x}" for _ in range(2000)) for _ in range(60)]
+
+    def seconds(encode) -> float:
+        began = time.process_time()
+        encode()
+        return time.process_time() - began
+
+    plain = lambda: [np.array(own.ranks.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+    assert list(own.ids_many(texts)) == plain()
+    assert min(seconds(lambda: list(packing.TokenPieces.ids_many(own, texts))) for _ in range(3)) < 1.3 * min(seconds(plain) for _ in range(3))
