@@ -50,6 +50,8 @@ BLOCK = 512
 PIVOTS = 4
 WORDS = 5
 SIMILARITY = 80
+#: Bits of the map of wanted documents that every task gets (8 MB).
+MARKS = 1 << 26
 #: Words whose hashes a Python process remembers.
 REMEMBERED = 1 << 19
 
@@ -185,6 +187,16 @@ def live(sketches: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids`` and a few others, found without a shuffle of ``rows`` by a map of hashed bits."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("mark")
+    own = ids.select(mark).withColumn("bucket", F.bitmap_bucket_number("mark")).repartition("bucket")
+    maps = own.groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    met = rows.select("*", mark).withColumn("bucket", F.bitmap_bucket_number("mark")).join(F.broadcast(maps), "bucket")
+    byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(mark) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return met.filter(F.expr(f"getbit({byte}, cast(bitmap_bit_position(mark) % 8 as int)) = 1")).select(*rows.columns)
+
+
 def compared(nodes: DataFrame, reps: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): for the members of each node (node, id) the smallest one of their group, where that is another."""
     least = least_agreeing(trees(percent) * LEVELS, percent)
@@ -203,8 +215,8 @@ def compared(nodes: DataFrame, reps: DataFrame, rows: DataFrame, words: int, per
 
     # different trees often have the same group in a node: it is compared once
     chosen = members.mapInPandas(choose, "ids array<long>").distinct().withColumn("node", F.xxhash64("ids"))
-    wanted = chosen.select("node", F.explode("ids").alias("id"))
-    texts = rows.join(wanted.groupBy("id").agg(F.collect_list("node").alias("nodes")), "id").dropDuplicates(["id"])
+    wanted = staged(chosen.select("node", F.explode("ids").alias("id")), "wanted")
+    texts = marked(rows, wanted).join(wanted.groupBy("id").agg(F.collect_list("node").alias("nodes")), "id").dropDuplicates(["id"])
     met = texts.select("id", "t", F.explode("nodes").alias("node"))
 
     def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:

@@ -202,3 +202,13 @@ def test_encoding_costs_no_more_than_the_merges():
     plain = lambda: [np.array(own.ranks.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
     assert list(own.ids_many(texts)) == plain()
     assert min(seconds(lambda: list(packing.TokenPieces.ids_many(own, texts))) for _ in range(3)) < 1.3 * min(seconds(plain) for _ in range(3))
+
+
+def test_only_wanted_texts_are_shuffled(spark):
+    rows = spark.range(20_000).select("id", F.lit("x").alias("t"))
+    wanted = spark.range(0, 20_000, 97).select("id")
+    found = near_dedup.marked(rows, wanted)
+    ids = {r.id for r in found.collect()}
+    assert ids >= set(range(0, 20_000, 97)) and len(ids) < 260
+    assert found.columns == ["id", "t"]
+    assert near_dedup.marked(rows, wanted.limit(0)).count() == 0
