@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the synthetic tables, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over the synthetic tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import byte_bpe, exact_dedup, html_text, language_id, near_dedup, neighbours, packing, sharding, suffix_dedup, token_counts
+from larkspan.llm import (
+    byte_bpe,
+    divergence,
+    exact_dedup,
+    html_text,
+    language_id,
+    near_dedup,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +79,19 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -77,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_minimax_shards": op10_minimax_shards,
+        "op11_quality": op11_quality,
+        "op12_whitening": op12_whitening,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -89,6 +119,45 @@ SELECT doc_id,
 FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 """
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents
+),
+terms AS (
+  SELECT k, lang, source, translate(unnest(found), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs
+),
+kept AS (SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+grps AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source),
+given AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS count,
+         1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (coalesce(s.n, 0) + 5 * l.v)::HUGEINT AS p,
+         1 + (1000000000 * (k.total + 5)::HUGEINT) // (l.n + 5 * l.v)::HUGEINT AS q
+  FROM grps g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM given a JOIN given b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+),
+rows_of AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM given WHERE count > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_of)
+WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op13_divergence": OP13_SQL}
