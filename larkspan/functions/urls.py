@@ -187,13 +187,23 @@ def in_text(text: Column) -> Column:
     return F.transform(first_of_each(found), lambda u: u["url"])
 
 
+_WRITTEN = "(?i)(https?://[^\\s<>\"'{}\\[\\]()（）\\x{4E00}-\\x{9FFF}]*)"
+
+
+def written_urls(text: Column, suffixes: Sequence[str]) -> Column:
+    """The URLs that a text writes out, in order and as often as it does, then its bare domains of distrusted suffixes."""
+    text = F.coalesce(text, F.lit(""))
+    full = F.transform(F.regexp_extract_all(text, F.lit(_WRITTEN)), lambda u: without_trailing(F.trim(u), "model"))
+    return F.concat(F.filter(full, lambda u: u != ""), bare_domains(text, suffixes))
+
+
 def bare_domains(text: Column, suffixes: Sequence[str]) -> Column:
     """Domains of distrusted suffixes that a text names without a scheme, as https URLs, in order and once each.
 
     URLs and e-mail addresses are blanked first; hosts that a URL of the text has are left out, as are version numbers.
     """
     blank = lambda c, pattern: F.regexp_replace(c, pattern, " \u0000 ")
-    hosts = F.transform(F.regexp_extract_all(text, F.lit("(?i)(https?://[^\\s<>\"'{}\\[\\]()（）\\x{4E00}-\\x{9FFF}]*)")), lambda u: parts(without_trailing(u, "model"))["host"])
+    hosts = F.transform(F.regexp_extract_all(text, F.lit(_WRITTEN)), lambda u: parts(without_trailing(u, "model"))["host"])
     rest = blank(blank(text, "(?i)https?://\\S+"), "(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}")
     label = "[a-zA-Z0-9](?:[-a-zA-Z0-9]*[a-zA-Z0-9])?"
     pattern = f"(?i)(?<![@\\w.-])({label}(?:\\.{label})*\\.(?:{'|'.join(suffixes)}))(?:/[\\w\\-._~:/?#\\[\\]@!$&()*+,;=%]*)?(?=[\\s\\)\\]\\}},;:!?.。，、：》）“”‘’-]|$)"
