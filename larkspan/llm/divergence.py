@@ -27,10 +27,12 @@ Further columns are ignored; an empty table gives an empty result. All arithmeti
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,11 @@ UNIT_STEPS = 3  # UNIT = 1000 ** 3
 PSEUDO = 5
 BLOCK = 1024
 SLICE = 256
-#: Entries of a task's table of counts, before it is handed on.
-HELD = 1 << 18
+#: Entries of a task's table of counts and documents in it, before it is handed on.
+HELD = 1 << 19
+#: One document, and above it nothing but documents: below are occurrences, of which a task has fewer than bytes.
+DOC_BITS = 40
+DOC = 1 << DOC_BITS
 #: Languages whose facts are broadcast; beyond, they are joined by shuffle.
 SMALL_LANGS = 10_000
 #: What each byte of a text becomes: A to Z small, other letters and bytes beyond ASCII as they are, the rest a space.
@@ -56,39 +61,31 @@ def count_terms(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     """(lang, source, term, n, docs): occurrences and documents; a row with an empty term for every group."""
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
         size = 0
 
-        def out() -> pd.DataFrame:
-            rows = [(lang, source, term, n, d) for (lang, source), own in held.items() for term, (n, d) in own.items()]
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in held.items():
+                both = np.fromiter(own.values(), np.int64, len(own))
+                rows = [pa.repeat(lang, len(own)), pa.repeat(source, len(own)), pa.array(own, pa.binary()), pa.array(both & (DOC - 1)), pa.array(both >> DOC_BITS)]
+                yield pa.RecordBatch.from_arrays(rows, ["lang", "source", "term", "n", "docs"])
 
         for b in batches:
-            for text, lang, source in zip(b["t"], b["lang"], b["source"]):
-                own = held.get((lang, source))
-                if own is None:
-                    own = held[lang, source] = {b"": [0, 0]}
+            for text, lang, source in zip(*(c.to_pylist() for c in b.columns)):
+                own = held.setdefault((lang, source), {b"": 0})
                 before = len(own)
-                seen: dict[bytes, int] = {}
-                for term in terms_of(text):
-                    seen[term] = seen.get(term, 0) + 1
-                for term, n in seen.items():
-                    entry = own.get(term)
-                    if entry is None:
-                        own[term] = [n, 1]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                size += len(own) - before
+                for term, n in Counter(terms_of(text)).items():
+                    own[term] = own.get(term, 0) + n + DOC
+                size += len(own) - before + 1
                 if size >= HELD:
-                    yield out()
+                    yield from out()
                     held, size = {}, 0
-        yield out()
+        yield from out()
 
     whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(F.col(text_col).cast("binary").alias("t"), whole(lang_col).alias("lang"), whole(source_col).alias("source"))
-    parts = rows.mapInPandas(run, "lang string, source string, term binary, n long, docs long")
+    parts = rows.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
