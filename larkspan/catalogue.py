@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """The modules that register more queries here."""
-    from larkspan import catalogue_cases, catalogue_domains, catalogue_evaluation, catalogue_semantic  # noqa: F401
+    from larkspan import catalogue_cases, catalogue_domains, catalogue_evaluation, catalogue_readings, catalogue_semantic  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -133,21 +133,36 @@ _SIGNS = "(contains(lower(path || '?' || query), 'login') OR contains(lower(path
 _PLAIN_FORM = "regexp_matches(html, '(?i)<form[^>]*action\\s*=\\s*[\"'']?http://')"
 
 
-@query(f"SELECT page_id, CASE WHEN {_SIGNS} THEN 0.75::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM {_URLS} WHERE lower(raw_scheme) <> 'https' AND ({_SIGNS} OR {_PLAIN_FORM})")
+@query(
+    f"""SELECT page_id, CASE WHEN {_SIGNS} THEN 0.75::DOUBLE WHEN {_PLAIN_FORM} THEN 0.55::DOUBLE ELSE 0.30::DOUBLE END AS confidence
+    FROM {_URLS} WHERE lower(raw_scheme) = 'http' OR (lower(raw_scheme) <> 'https' AND ({_SIGNS} OR {_PLAIN_FORM}))"""
+)
 def url_non_https(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.page_evidence(F.col("url"), F.col("html"), P.DEMO)
     rows = table(spark, sf_dir, "pages").select("page_id", F.get(F.filter(found, lambda e: e["rule_id"] == "URL_NON_HTTPS"), F.lit(0)).alias("e"))
     return rows.filter("e IS NOT NULL").select("page_id", F.col("e.confidence").alias("confidence"))
 
 
-@query(f"SELECT page_id, port FROM {_URLS} WHERE port NOT IN (80, 443) AND NOT (host = 'm.example.com' AND port = 8080)")
+#: URLs of pages with a port, a foreign host or a path added, so that the rules have something to find.
+_PLACED_SQL = """(SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^(https?://[^/]+)', '\\1:8080') WHEN 1 THEN regexp_replace(url, '^(https?://[^/]+)', '\\1:443')
+  WHEN 2 THEN regexp_replace(url, '^(https?://[^/]+)', '\\1.evil.test') ELSE url || '/to/EXAMPLE.org' END AS url FROM pages)"""
+_PLACED_URLS = _URLS.replace("FROM pages", f"FROM {_PLACED_SQL}")
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, host = F.col("page_id") % 4, "^(https?://[^/]+)"
+    url = F.when(k == 0, F.regexp_replace("url", host, "$1:8080")).when(k == 1, F.regexp_replace("url", host, "$1:443")).when(k == 2, F.regexp_replace("url", host, "$1.evil.test")).otherwise(F.concat("url", F.lit("/to/EXAMPLE.org")))
+    return table(spark, sf_dir, "pages").select("page_id", U.parts(url).alias("p"))
+
+
+@query(f"SELECT page_id, port FROM {_PLACED_URLS} WHERE port NOT IN (80, 443) AND NOT (host = 'm.example.com' AND port = 8080)")
 def suspicious_port(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).filter(rules.suspicious_port(F.col("p"), P.DEMO)).select("page_id", F.col("p.port").alias("port"))
+    return _placed(spark, sf_dir).filter(rules.suspicious_port(F.col("p"), P.DEMO)).select("page_id", F.col("p.port").alias("port"))
 
 
-@query(f"SELECT page_id FROM {_URLS} WHERE (NOT {_OFFICIAL} AND contains(host, 'example.org')) OR contains(lower(path), 'example.org')")
+@query(f"SELECT page_id FROM {_PLACED_URLS} WHERE (NOT {_OFFICIAL} AND contains(host, 'example.org')) OR contains(lower(path), 'example.org')")
 def nested_official(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).filter(rules.nested_official(F.col("p"), P.DEMO)).select("page_id")
+    return _placed(spark, sf_dir).filter(rules.nested_official(F.col("p"), P.DEMO)).select("page_id")
 
 
 @query("SELECT page_id, CAST(i AS INTEGER) AS link_no, links[i + 1] AS href FROM (SELECT page_id, links, unnest(range(len(links))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS links FROM pages))")

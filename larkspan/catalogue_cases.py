@@ -21,10 +21,10 @@ def all_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     sender = F.concat(F.lit("The Page <a"), (k % 7).cast("string"), F.lit("@"), F.when(k % 2 == 0, "example.org").otherwise("mail.example.com"), F.lit(">"))
     mails = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), k).alias("case_id"), F.col("text").alias("input_text"), F.lit("email").alias("input_type"), sender.alias("sender"),
-        F.when(k % 5 == 0, F.array(F.lit("report.pdf.exe"))).when(k % 5 == 1, F.array(F.lit("a.txt"))).alias("attachments"),
+        F.when(k % 5 == 0, F.array(F.lit("report.pdf.exe"), F.lit("notes.txt"), F.lit("run.js"))).when(k % 5 == 1, F.array(F.lit("a.txt"))).alias("attachments"),
     )
     turns = table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("case_id"), F.col("text").alias("input_text"), F.lit("sms").alias("input_type"), F.array(F.concat(F.lit("http://q.example.com/login?c="), "conv_id")).alias("qr_urls")
+        F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("case_id"), F.col("text").alias("input_text"), F.lit("sms").alias("input_type"), F.array(F.lit("tel:123"), F.concat(F.lit("http://q.example.com/login?c="), "conv_id"), F.lit("https://example.org/login"), F.lit("https://q.example.net/%6Cogin")).alias("qr_urls")
     )
     return pages.unionByName(mails, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
 
@@ -35,9 +35,13 @@ def detect_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'c' || conv_id || ':' || turn AS case_id, 'qr:0' AS subject, r AS rule_id FROM conversations, (VALUES ('QR_CODE_EXTERNAL_URL'), ('QR_CREDENTIAL_URL')) AS v(r) WHERE trim(text) <> ''
-    UNION ALL SELECT 'd' || doc_id, 'attachment:0', r FROM documents, (VALUES ('ATTACHMENT_EXECUTABLE'), ('ATTACHMENT_DOUBLE_EXTENSION')) AS v(r) WHERE doc_id % 5 = 0 AND trim(text) <> '' AND octet_length(encode(text)) <= 204800
-    UNION ALL SELECT 'd' || doc_id, 'sender:0', 'EMAIL_SENDER_IMPERSONATION' FROM documents WHERE doc_id % 2 = 1 AND trim(text) <> '' AND octet_length(encode(text)) <= 204800"""
+    """WITH fine AS (SELECT * FROM documents WHERE trim(text) <> '' AND octet_length(encode(text)) <= 204800)
+    SELECT 'c' || conv_id || ':' || turn AS case_id, q AS subject, r AS rule_id
+    FROM conversations, (VALUES ('qr:1'), ('qr:3')) AS s(q), (VALUES ('QR_CODE_EXTERNAL_URL'), ('QR_CREDENTIAL_URL')) AS v(r) WHERE trim(text) <> ''
+    UNION ALL SELECT 'd' || doc_id, a, r
+    FROM fine, (VALUES ('attachment:0', 'ATTACHMENT_EXECUTABLE'), ('attachment:0', 'ATTACHMENT_DOUBLE_EXTENSION'), ('attachment:2', 'ATTACHMENT_EXECUTABLE')) AS v(a, r) WHERE doc_id % 5 = 0
+    UNION ALL SELECT 'd' || doc_id, 'sender:0', 'EMAIL_SENDER_IMPERSONATION'
+    FROM fine WHERE doc_id % 2 = 1 AND regexp_matches(lower(text), 'the|ing') AND regexp_matches(lower(text), 'tion|heit')"""
 )
 def case_context_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of attachments, senders and QR codes of all cases."""

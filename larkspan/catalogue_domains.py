@@ -42,7 +42,7 @@ def _list(hosts: DataFrame) -> DataFrame:
 def host_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with the longest domain of a list table that its host belongs to."""
     hosts = page_hosts(spark, sf_dir)
-    return domains.with_listed(hosts, _list(hosts), F.col("page_id")).select("page_id", "host", "domain", "kind", "n")
+    return domains.with_listed(hosts, _list(hosts)).select("page_id", "host", "domain", "kind", "n")
 
 
 @query(

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from larkspan.plans.profile import MAX_BYTES, SECRET_PARAMETERS
 
@@ -97,6 +97,18 @@ def normal_text(text: Column) -> Column:
     return let(plain, lambda t: F.when(t.contains("%"), let(percent_decode(t, 1), lambda once: percent_decode(once, 1))).otherwise(t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _plain_all(values: pd.Series) -> pd.Series:
+    return values.map(lambda urls: None if urls is None else [None if u is None else unicodedata.normalize("NFKC", html.unescape(u)) for u in urls])
+
+
+def normal_urls(urls: Column) -> Column:
+    """The texts of normalized() for an array of URLs. Python runs only where one has an entity or a character beyond ASCII."""
+    odd = lambda u: F.coalesce(u.contains("&") | u.rlike("[^\\x00-\\x7F]"), F.lit(False))
+    plain = F.when(F.exists(urls, odd), _plain_all(urls)).otherwise(urls)
+    return F.transform(plain, lambda u: let(strip_invisible(F.coalesce(u, F.lit(""))), percent_decode))
+
+
 def visible_text(page: Column) -> Column:
     """Tags as spaces, white space as one space, trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(page, "<[^>]+>", " "), "[ \\t\\r\\n]+", " "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -27,10 +28,14 @@ _FIELD = StructType([StructField(k, StringType()) for k in _STRINGS])
 _FORM = StructType([StructField("action", StringType()), StructField("target", StringType()), StructField("fields", ArrayType(_FIELD))])
 _LINK = StructType([StructField("href", StringType()), StructField("text", StringType()), StructField("target", StringType())])
 PAGE = StructType(
-    [StructField("title", StringType()), StructField("forms", ArrayType(_FORM)), StructField("links", ArrayType(_LINK)), StructField("loose_password", BooleanType()), StructField("iframes", ArrayType(StringType()))]
+    [StructField("title", StringType()), StructField("forms", ArrayType(_FORM)), StructField("links", ArrayType(_LINK)), StructField("loose_password", BooleanType()), StructField("iframes", ArrayType(StringType())), StructField("metas", ArrayType(StringType()))]
 )
 
 
+#: The address in the content of a refresh.
+_REFRESH_URL = re.compile(r"url=\s*([^;,\s]+)", re.IGNORECASE)
+
+
 class _Reader(HTMLParser):
     """Collects forms with their fields and labels, links with their texts, addresses of iframes, and the title. A new form ends an open one."""
 
@@ -41,6 +46,7 @@ class _Reader(HTMLParser):
         self.labels: dict[str, str] = {}
         self.loose_password = False
         self.iframes: list[str] = []
+        self.metas: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
@@ -60,6 +66,9 @@ class _Reader(HTMLParser):
             self.links.append(self.link)
         elif tag == "iframe" and "src" in a:
             self.iframes.append(a["src"])
+        elif tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+            if goal := _REFRESH_URL.search(a.get("content", "")):
+                self.metas.append(self.resolved(goal.group(1).strip("\"'")))
         elif tag == "label":
             self.label = {"for": a.get("for", ""), "text": ""}
         elif tag == "title":
@@ -98,12 +107,12 @@ class _Reader(HTMLParser):
                 f["label"] = self.labels.get(f["id"]) or (around["text"].strip() if around else "")
         for link in self.links:
             link["text"] = link["text"].strip()
-        return {"title": self.title.strip(), "forms": self.forms, "links": self.links, "loose_password": self.loose_password, "iframes": self.iframes}
+        return {"title": self.title.strip(), "forms": self.forms, "links": self.links, "loose_password": self.loose_password, "iframes": self.iframes, "metas": self.metas}
 
 
 def read_page(page: str | None, base: str | None) -> dict:
     if not page:
-        return {"title": "", "forms": [], "links": [], "loose_password": False, "iframes": []}
+        return {"title": "", "forms": [], "links": [], "loose_password": False, "iframes": [], "metas": []}
     reader = _Reader(base or "")
     try:
         reader.feed(page or "")
@@ -166,6 +175,14 @@ def _form_evidence(dom: Column, host: Column, signals: Column, profile: Profile)
 
         return has_password(form) & let(U.parts(form["target"])["host"], reached)
 
+    def forbidden(form: Column) -> Column:
+        """Whether the form goes to a trusted service, the first that its target belongs to, and has a field that the service must not ask for."""
+        has = lambda words: F.exists(form["fields"], lambda f: F.lower(f["type"]).isin(*words) | T.any_word(_searched(f), words))
+        if not profile.trusted_services:
+            return F.lit(False)
+        target = lambda host: F.coalesce(*[F.when(U.belongs_to(host, domains), has([w.lower() for w in no]) if no else F.lit(False)) for _, domains, _, no in profile.trusted_services], F.lit(False))
+        return let(U.parts(form["target"])["host"], target)
+
     valuable = lambda form: has_word(form, HIGH_VALUE)
     items = [
         per_form("HTML_PASSWORD_INPUT", has_password),
@@ -173,9 +190,10 @@ def _form_evidence(dom: Column, host: Column, signals: Column, profile: Profile)
         per_form("PASSWORD_FORM_UNTRUSTED_TARGET", untrusted),
         per_form("FORM_NON_HTTPS_ACTION", lambda form: F.lower(form["action"]).startswith("http://")),
         per_form("FORM_COLLECTS_SENSITIVE_INFO", lambda form: has_word(form, SENSITIVE)),
+        per_form("TRUSTED_SERVICE_FORBIDDEN_FIELD", forbidden),
         per_form(
             "FORM_COLLECTS_SECRET",
-            lambda form: has_word(form, SECRET) | has_password(form),
+            lambda form: (has_word(form, SECRET) | has_password(form)) & ~forbidden(form),
             severity=lambda form: F.when(valuable(form), "high").otherwise("low"),
             base=lambda form: F.when(valuable(form), 28).otherwise(5),
             confidence=lambda form: F.when(valuable(form), 0.92).otherwise(0.50),

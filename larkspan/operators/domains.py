@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import urls as U
 from larkspan.functions.text import let
-from larkspan.operators import wording
+from larkspan.operators import joins, wording
 from larkspan.operators.joins import is_small, measured_join
 
 _IPV4 = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
@@ -61,21 +61,26 @@ def listed(hosts: DataFrame, entries: DataFrame, host_col: str = "host", domain_
     """
     more = [c for c in entries.columns if c != domain_col and c not in by]
     table = entries.withColumn("suffix", plain(F.col(domain_col))).filter("suffix IS NOT NULL AND suffix <> ''").drop(domain_col).distinct()
-    depth = table.agg(F.min(F.size(F.split("suffix", "\\."))).alias("least"), F.max(F.size(F.split("suffix", "\\."))).alias("most")).first()
-    least, most = (1, 0) if depth["least"] is None else (depth["least"], depth["most"])
+    labels = F.size(F.split("suffix", "\\."))
+    facts = table.agg(F.count(F.lit(1)).alias("n"), F.min(labels).alias("least"), F.max(labels).alias("most")).first()
+    least, most = (facts["least"], facts["most"]) if facts["n"] else (1, 0)
     own = _distinct_hosts(hosts, host_col)
     # only suffixes as long as some entry are looked up: the last label of all hosts is no key unless a list has it
     each = own.select("host", "own", F.inline(label_suffixes(F.col("own"), least, most)))
     if not itself:
         each = each.filter("suffix <> own")
-    met = measured_join(each.drop("own"), table, ["suffix"], F.col("host"))
+    met = measured_join(each.drop("own"), table, ["suffix"], F.col("host"), small=facts["n"] <= joins.BROADCAST_ROWS)
     best = met.groupBy("host", *by).agg(F.max(F.struct("labels", "suffix", *more)).alias("best"))
     return best.select(F.col("host").alias(host_col), F.col("best.suffix").alias(domain_col), *by, *[F.col(f"best.{c}").alias(c) for c in more])
 
 
-def with_listed(rows: DataFrame, entries: DataFrame, spread: Column, host_col: str = "host", domain_col: str = "domain", itself: bool = True) -> DataFrame:
-    """``rows`` with the entry of its host, null where there is none; ``spread`` tells rows of the same host apart."""
-    return measured_join(rows, listed(rows, entries, host_col, domain_col, itself=itself), [host_col], spread, "left")
+def with_listed(rows: DataFrame, entries: DataFrame, host_col: str = "host", domain_col: str = "domain", itself: bool = True) -> DataFrame:
+    """``rows`` with the entry of its host, null where there is none.
+
+    Hosts that are listed come back to the rows by a join that adaptive execution broadcasts where they are few, and
+    splits where one host has many rows.
+    """
+    return rows.join(listed(rows, entries, host_col, domain_col, itself=itself), host_col, "left")
 
 
 def public_suffixes(hosts: DataFrame, suffix_rules: DataFrame, host_col: str = "host", rule_col: str = "rule", default: bool = False) -> DataFrame:

@@ -83,26 +83,49 @@ def position(x: Column, y: Column, width: Column, height: Column) -> Column:
 CHANCE_DOMAINS = ("the.com", "is.com", "at.com", "or.com", "in.net", "to.com", "be.org", "of.com", "no.com", "go.com")
 
 
+def _tail_kind(tail: Column) -> Column:
+    """Whether what follows a scheme's name is one mark that reads like a colon, perhaps a slash, and then a name of two characters or more.
+
+    The first character of the name stands beside the mark; the rest of it is a run of letters, digits, dots, hyphens and white space.
+    """
+    joined = F.regexp_replace(tail, "\\s+", "")
+    marked = joined.rlike("^[:;JjI|/\\\\]/?[a-zA-Z0-9]")
+    behind = F.regexp_replace(tail, "^\\s*[:;JjI|/\\\\](?:\\s*/)?\\s*.", "")
+    name = F.rtrim(F.regexp_extract(behind, "([a-zA-Z0-9][-a-zA-Z0-9\\s.]*)", 1), F.lit(" \t\r\n.-"))
+    return marked & (F.length(name) >= 2)
+
+
 def url_candidate(text: Column) -> Column:
-    """struct(candidate, reason, malformed, prefix): whether a block of text may be a URL, also a damaged one."""
-    text = F.trim(F.coalesce(text, F.lit("")))
-    damaged = F.regexp_extract(text, "(?i)\\b(https?\\s*[:;JjI|/\\\\](?:\\s*/\\s*)?\\s*[a-zA-Z0-9])", 1)
-    after = F.regexp_extract(text, "(?i)\\bhttps?\\s*[:;JjI|/\\\\](?:\\s*/\\s*)?\\s*[a-zA-Z0-9](.*)", 1)
-    broken = (damaged != "") & (F.length(F.regexp_extract(after, "([a-zA-Z0-9](?:[-a-zA-Z0-9\\s.]*[a-zA-Z0-9])?)", 1)) >= 2)
-    clean = F.regexp_extract(text, "(?i)(https?://[^\\s]{3,}|www\\.[a-zA-Z0-9][^\\s]+)", 1)
-    bare = F.regexp_extract(text, "([a-zA-Z0-9][-a-zA-Z0-9]*\\.[a-zA-Z]{2,}(?:[/?#][^\\s]*)?)$", 1)
-    short = F.length(text) < 3
-    reason = (
-        F.when(short, "")
-        .when(broken, "damaged_http_prefix")
-        .when(text.rlike("(?i)\\bwww[\\s:;]+[a-zA-Z0-9]"), "www_prefix_damaged")
-        .when(clean != "", "standard_url_pattern")
-        .when((F.length(bare) >= 5) & ~F.lower(bare).isin(*CHANCE_DOMAINS), "bare_domain")
-        .otherwise("")
-    )
-    return let(reason, lambda r: F.struct(
-        (r != "").alias("candidate"),
-        r.alias("reason"),
-        ((r == "www_prefix_damaged") | ((r == "damaged_http_prefix") & ~damaged.rlike("^https?://"))).alias("malformed"),
-        F.when(r == "damaged_http_prefix", F.lower(F.regexp_extract(damaged, "(?i)^(https?)", 1))).when(r == "www_prefix_damaged", "www").when(r == "standard_url_pattern", F.when(F.lower(clean).startswith("http"), "http").otherwise("www")).alias("prefix"),
-    ))
+    """struct(candidate, reason, malformed, prefix): whether a block of text may be a URL, also a damaged one.
+
+    A block is taken apart at the names of schemes; what follows each, up to the end, tells whether its prefix is damaged. Else a
+    block is a candidate for a www without its dot, for a whole URL, or for a domain at its end.
+    """
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)^\\s+|\\s+$", "")
+    schemes = F.regexp_extract_all(text, F.lit("(?i)\\b(https?)"), F.lit(1))
+    pieces = F.split(text, "(?i)\\bhttps?", -1)
+    tails = F.transform(schemes, lambda s, k: F.array_join(F.slice(pieces, k + 2, F.size(pieces)), "http"))
+    broken = let(F.transform(tails, _tail_kind), lambda flags: F.array_position(flags, True).cast("int"))
+    web, site = text.rlike("(?i)https?://\\S{3}"), text.rlike("(?i)www\\.[a-z0-9]\\S")
+    pathless = F.regexp_replace(text, "([a-zA-Z0-9][-a-zA-Z0-9]*\\.[a-zA-Z]{2,})[/?#]\\S*$", "$1")
+    last = F.regexp_extract(pathless, "([a-zA-Z0-9][-a-zA-Z0-9]*\\.[a-zA-Z]{2,})$", 1)
+    ends = F.when(pathless == text, (F.length(last) >= 5) & ~F.lower(last).isin(*CHANCE_DOMAINS)).otherwise(last != "")
+
+    def judged(at: Column) -> Column:
+        kind = (
+            F.when(F.length(text) < 3, "")
+            .when(at > 0, "damaged_http_prefix")
+            .when(text.rlike("(?i)\\bwww[\\s:;]+[a-z0-9]"), "www_prefix_damaged")
+            .when(web | site, "standard_url_pattern")
+            .when(ends, "bare_domain")
+            .otherwise("")
+        )
+        first = F.when(web & (~site | (F.regexp_instr(text, F.lit("(?i)https?://\\S{3}")) <= F.regexp_instr(text, F.lit("(?i)www\\.[a-z0-9]\\S")))), "http").otherwise("www")
+        return let(kind, lambda r: F.struct(
+            (r != "").alias("candidate"),
+            r.alias("reason"),
+            r.isin("damaged_http_prefix", "www_prefix_damaged").alias("malformed"),
+            F.when(r == "damaged_http_prefix", F.lower(F.get(schemes, at - 1))).when(r == "www_prefix_damaged", "www").when(r == "standard_url_pattern", first).alias("prefix"),
+        ))
+
+    return let(broken, judged)

@@ -125,7 +125,7 @@ def parsed_url_evidence(p: Column, profile: Profile, subject: str | Column = "ur
     return [
         evidence("URL_IP_DOMAIN", U.public_ip(host) & signs_in, subject),
         evidence("URL_SHORT_LINK", U.belongs_to(host, profile.short_links), subject),
-        evidence("URL_NON_HTTPS", (p["scheme"] != "https") & (signs_in | plain_form), subject, F.when(signs_in, 0.75).otherwise(0.55)),
+        evidence("URL_NON_HTTPS", (p["scheme"] == "http") | ((p["scheme"] != "https") & (signs_in | plain_form)), subject, F.when(signs_in, 0.75).when(plain_form, 0.55).otherwise(0.30)),
         evidence("URL_SUSPICIOUS_PORT", suspicious_port(p, profile), subject),
         evidence("URL_LONG_SUBDOMAIN", U.subdomain_levels(host) > MAX_LEVELS, subject),
         evidence("URL_AT_SYMBOL", (p["userinfo"] != "") & bait & ~official, subject),
@@ -137,8 +137,11 @@ def parsed_url_evidence(p: Column, profile: Profile, subject: str | Column = "ur
     ]
 
 
-def html_evidence(page: Column, host: Column, profile: Profile, forms: bool = True) -> list[Column]:
-    """Evidence of the page rules that need no document tree; without ``forms`` those that dom.form_evidence() judges by the tree are left to it."""
+def html_evidence(page: Column, host: Column, profile: Profile, forms: bool = True, scripts: bool = True) -> list[Column]:
+    """Evidence of the page rules that need no document tree.
+
+    Without ``forms`` those that dom.form_evidence() judges by the tree are left to it; without ``scripts`` the redirect by script is left to the text.
+    """
     images = F.regexp_count(page, F.lit("(?i)<img\\b"))
     seen = F.length(T.visible_text(page))
     encoded = F.aggregate(
@@ -158,7 +161,7 @@ def html_evidence(page: Column, host: Column, profile: Profile, forms: bool = Tr
     return [
         *(by_tree if forms else []),
         evidence("META_REFRESH_REDIRECT", page.rlike(_META_REFRESH), "page:0"),
-        evidence("JS_LOCATION_REDIRECT", page.rlike(_SCRIPT_REDIRECT), "page:0"),
+        *([evidence("JS_LOCATION_REDIRECT", page.rlike(_SCRIPT_REDIRECT), "page:0")] if scripts else []),
         evidence("HIDDEN_FORM_OR_LINK", hidden, "page:0"),
         let(counted, lambda n: evidence("EXTERNAL_LINK_DOMINANCE", (n["all"] >= 3) & (n["ratio"] >= 0.70), "page:0", F.least(F.lit(0.85), n["ratio"]))),
         evidence("HTML_BASE64_IMAGE_HEAVY", (encoded > 2000) & (seen < 100), "page:0"),
@@ -178,37 +181,51 @@ def wording_evidence(text: Column, profile: Profile, official_context: Column |
     return out
 
 
-def attachment_evidence(names: Column, profile: Profile) -> list[Column]:
-    """Evidence of the attachment rules for an array of file names (the first one that hits)."""
+def each_hit(rule_id: str, hits: Column, kind: str) -> Column:
+    """Evidence array of the items for which ``hits``, an array, is true: one for each, named by its place."""
+    found = F.transform(hits, lambda hit, k: evidence(rule_id, hit, F.concat(F.lit(kind), k.cast("string"))))
+    return F.array_compact(found)
+
+
+def attachment_evidence(names: Column, profile: Profile) -> Column:
+    """Evidence array of the attachment rules for an array of file names, one for each name that hits."""
     dangerous = F.array(*[F.lit(x) for x in profile.dangerous_extensions])
     any_layer = F.transform(names, lambda n: F.arrays_overlap(T.extension_layers(n), dangerous))
     doubled = F.transform(names, lambda n: let(T.extension_layers(n), lambda own: (F.size(own) >= 2) & F.array_contains(dangerous, F.get(own, F.lit(0)))))
-    return [_first_hit("ATTACHMENT_EXECUTABLE", any_layer, "attachment:"), _first_hit("ATTACHMENT_DOUBLE_EXTENSION", doubled, "attachment:")]
+    return F.concat(each_hit("ATTACHMENT_EXECUTABLE", any_layer, "attachment:"), each_hit("ATTACHMENT_DOUBLE_EXTENSION", doubled, "attachment:"))
 
 
-def _first_hit(rule_id: str, hits: Column, kind: str) -> Column:
-    """Evidence of the first item for which ``hits`` holds, by its place."""
-    return let(hits, lambda flags: evidence(rule_id, F.array_contains(flags, True), F.concat(F.lit(kind), (F.array_position(flags, True) - 1).cast("string"))))
-
-
-def sender_evidence(sender: Column, link_hosts: Column, profile: Profile) -> list[Column]:
-    """Evidence of the sender rules: an address or "name <address>", and the hosts of the links."""
+def sender_evidence(sender: Column, link_hosts: Column, text: Column, profile: Profile) -> list[Column]:
+    """Evidence of the sender rules: an address or "name <address>", the hosts of the links, and the normalized text, which names brand and department."""
     address = F.coalesce(F.nullif(F.regexp_extract(sender, "<([^>]*)>", 1), F.lit("")), sender)
     domain = F.lower(F.regexp_extract(address, "@([^@>\\s]*)\\s*$", 1))
-    brand, signs_in = T.any_word(sender, profile.brand_words), T.any_word(sender, profile.login_words)
+    said = F.struct(*[T.any_word(text, words).alias(k) for k, words in (("brand", profile.brand_words), ("department", profile.department_words), ("signs_in", profile.login_words))])
     elsewhere = lambda d: (F.size(link_hosts) > 0) & let(U.registered_domain(d), lambda own: F.forall(link_hosts, lambda h: U.registered_domain(h) != own))
+    own = F.struct(domain.alias("domain"), said.alias("said"))
     return [
-        let(domain, lambda d: evidence("EMAIL_SENDER_IMPERSONATION", (d != "") & ~U.belongs_to(d, profile.official_domains) & brand & signs_in, "sender:0")),
-        let(domain, lambda d: evidence("EMAIL_SENDER_LINK_MISMATCH", (d != "") & elsewhere(d) & (brand | signs_in), "sender:0", F.when(brand & signs_in, 0.75).otherwise(0.60))),
+        let(own, lambda x: evidence("EMAIL_SENDER_IMPERSONATION", (x["domain"] != "") & ~U.belongs_to(x["domain"], profile.official_domains) & x["said"]["brand"] & x["said"]["department"], "sender:0")),
+        let(
+            own,
+            lambda x: evidence(
+                "EMAIL_SENDER_LINK_MISMATCH",
+                (x["domain"] != "") & elsewhere(x["domain"]) & (x["said"]["brand"] | x["said"]["signs_in"]),
+                "sender:0",
+                F.when(x["said"]["brand"] & x["said"]["signs_in"], 0.75).otherwise(0.60),
+            ),
+        ),
     ]
 
 
-def qr_evidence(urls: Column, profile: Profile) -> list[Column]:
-    """Evidence of the QR rules for an array of decoded URLs (the first one that hits)."""
-    foreign = lambda p: ~U.belongs_to(p["host"], profile.official_domains)
+# What the address behind a code names if it asks for credentials.
+CREDENTIAL_CLUES = ("login", "auth", "verify", "password", "token", "sms", "验证码", "登录", "认证")
+
+
+def qr_evidence(urls: Column, profile: Profile) -> Column:
+    """Evidence array of the QR rules for an array of decoded URLs, one for each that hits; what has no host is no URL."""
+    foreign = lambda p: (p["host"] != "") & ~U.belongs_to(p["host"], profile.official_domains)
     outside = F.transform(urls, lambda u: let(U.parts(u), foreign))
-    asks = F.transform(urls, lambda u: let(U.parts(u), lambda p: foreign(p) & T.any_word(F.concat_ws("?", p["path"], p["query"]), profile.login_words)))
-    return [_first_hit("QR_CODE_EXTERNAL_URL", outside, "qr:"), _first_hit("QR_CREDENTIAL_URL", asks, "qr:")]
+    asks = F.transform(urls, lambda u: let(U.parts(u), lambda p: foreign(p) & T.any_word(F.concat(p["path"], p["query"]), CREDENTIAL_CLUES)))
+    return F.concat(each_hit("QR_CODE_EXTERNAL_URL", outside, "qr:"), each_hit("QR_CREDENTIAL_URL", asks, "qr:"))
 
 
 def page_evidence(url: Column, page: Column, profile: Profile, normal: Column | None = None) -> Column:
@@ -228,12 +245,13 @@ def message_evidence(
     items = wording_evidence(text, profile) + [evidence("JS_LOCATION_REDIRECT", text.rlike(_SCRIPT_REDIRECT), "page:0")]
     if sender is not None:
         hosts = F.array().cast("array<string>") if links is None else F.transform(F.coalesce(links, F.array().cast("array<string>")), lambda u: U.parts(u)["host"])
-        items += sender_evidence(F.coalesce(sender, F.lit("")), F.filter(hosts, lambda h: h != ""), profile)
+        items += sender_evidence(F.coalesce(sender, F.lit("")), F.filter(hosts, lambda h: h != ""), text, profile)
+    arrays = [gathered(items)]
     if attachments is not None:
-        items += attachment_evidence(F.coalesce(attachments, F.array().cast("array<string>")), profile)
+        arrays.append(attachment_evidence(F.coalesce(attachments, F.array().cast("array<string>")), profile))
     if qr_urls is not None:
-        items += qr_evidence(F.coalesce(qr_urls, F.array().cast("array<string>")), profile)
-    return gathered(items)
+        arrays.append(qr_evidence(F.coalesce(qr_urls, F.array().cast("array<string>")), profile))
+    return F.concat(*arrays)
 
 
 def service_of(host: Column, services) -> Column:

@@ -36,20 +36,20 @@ def error_code(c) -> Column:
 
 
 def prepared(cases: DataFrame, key: str = "case_id") -> DataFrame:
-    """key, the case's columns, normal (its normalized text), page (struct of forms and links, empty unless html)."""
+    """key, the case's columns, normal (its normalized text), qr_normal (normalized QR URLs), page (struct of forms and links, empty unless html)."""
     have = set(cases.columns)
     cols = {k: (F.col(k) if k in have else F.lit(None)).cast(t) for k, t in TYPES.items()}
     rows = cases.select(key, *[(F.coalesce(c, strings()) if TYPES[k].startswith("array") else c).alias(k) for k, c in cols.items()])
     rows = rows.withColumn("error_code", error_code({k: F.col(k) for k in TYPES}))
     html = F.when(F.col("error_code").isNull() & (F.col("input_type") == "html"), F.col("input_text")).otherwise("")
     text = F.when(F.col("error_code").isNull(), F.col("input_text")).otherwise("")
-    return rows.withColumns({"normal": T.with_recognised(text, F.col("ocr_text")), "html": html}).withColumn("page", dom.flattened_once("html", F.coalesce("base_url", F.lit(""))))
+    return rows.withColumns({"normal": T.with_recognised(text, F.col("ocr_text")), "html": html, "qr_normal": T.normal_urls(F.col("qr_urls"))}).withColumn("page", dom.flattened_once("html", F.coalesce("base_url", F.lit(""))))
 
 
 def union_of_urls(c) -> Column:
     """array<struct(url, kind, subject)>: the URLs of a prepared case in the order of their sources, the first of each canonical key.
 
-    Sources: links, forms and iframes of a page, the text as it came, the normalized text, the case's own URL, QR codes.
+    Sources: links, forms, iframes and redirects of a page, the text as it came, the normalized text, the case's own URL, QR codes.
     """
     web = lambda u: F.coalesce(u.rlike("^https?://"), F.lit(False))
     item = lambda u, kind, n=None: F.struct(u.alias("url"), F.lit(kind).alias("kind"), (F.lit(-1) if n is None else n).cast("int").alias("n"))
@@ -58,6 +58,7 @@ def union_of_urls(c) -> Column:
         F.transform(page["links"], lambda x: item(x["target"], "a")),
         F.transform(F.filter(page["forms"], lambda x: x["action"] != ""), lambda x: item(x["target"], "form")),
         F.transform(page["iframes"], lambda x: item(x, "iframe")),
+        F.transform(page["metas"], lambda x: item(x, "meta")),
         F.transform(U.in_text(c["input_text"]), lambda x: item(x, "text")),
         F.when(c["normal"] != c["input_text"], F.transform(U.in_text(c["normal"]), lambda x: item(x, "text"))).otherwise(F.array().cast("array<struct<url:string,kind:string,n:int>>")),
         F.array(item(c["base_url"], "base")),
@@ -91,13 +92,13 @@ def evidence_of(c, profile: Profile) -> Column:
 
     of_urls = F.flatten(F.transform(F.arrays_zip(c["urls"].alias("u"), c["decoded"].alias("decoded")), of_url))
     base = F.coalesce(c["base_url"], F.lit(""))
-    of_page = let(U.parts(base)["host"], lambda host: F.concat(rules.gathered(rules.html_evidence(c["html"], host, profile, forms=False)), dom.form_evidence(c["page"], base, c["html"], profile)))
+    of_page = let(U.parts(base)["host"], lambda host: F.concat(rules.gathered(rules.html_evidence(c["html"], host, profile, forms=False, scripts=False)), dom.form_evidence(c["page"], base, c["html"], profile)))
     scripts = rules.gathered([rules.evidence("JS_LOCATION_REDIRECT", c["normal"].rlike(rules._SCRIPT_REDIRECT), "page:0")])
     context = official_context(c["sender"], c["hosts"], profile)
     seen = F.filter(F.transform(c["urls"], lambda u: F.when(u["kind"] != "qr", U.parts(u["url"])["host"])), lambda h: h.isNotNull() & (h != ""))
-    rest = rules.wording_evidence(c["normal"], profile, context) + rules.sender_evidence(F.coalesce(c["sender"], F.lit("")), seen, profile)
-    rest += rules.attachment_evidence(c["attachments"], profile) + rules.qr_evidence(c["qr_urls"], profile)
-    return F.concat(of_urls, F.when(c["html"] != "", of_page).otherwise(scripts), rules.gathered(rest))
+    rest = rules.wording_evidence(c["normal"], profile, context) + rules.sender_evidence(F.coalesce(c["sender"], F.lit("")), seen, c["normal"], profile)
+    payload = (rules.attachment_evidence(c["attachments"], profile), rules.qr_evidence(c["qr_normal"], profile))
+    return F.concat(of_urls, F.when(c["html"] != "", of_page).otherwise(F.array().cast(EVIDENCE)), scripts, rules.gathered(rest), *payload)
 
 
 def case_evidence(cases: DataFrame, profile: Profile = DEMO, key: str = "case_id") -> DataFrame:

@@ -77,6 +77,8 @@ MAX_BYTES = 204_800
 MAX_LEVELS = 4
 # Public suffixes of two labels.
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.cn", "net.cn", "org.cn", "edu.cn", "gov.cn", "ac.cn", "com.au", "co.jp", "com.hk", "com.tw")
+# Departments.
+DEPARTMENTS = ("信息化", "信息技术中心", "网络中心", "教务处", "学生处", "财务处", "信息化工作办公室")
 SECRET_PARAMETERS = ("password", "token", "code", "key", "secret", "pwd", "pass")
 
 
@@ -86,6 +88,8 @@ class Profile:
     short_links: tuple[str, ...] = ("bit.ly", "t.co", "tinyurl.com", "goo.gl", "is.gd")
     port_exceptions: tuple[tuple[str, tuple[int, ...]], ...] = ()
     brand_words: tuple[str, ...] = ()
+    #: Departments that a message may claim to come from.
+    department_words: tuple[str, ...] = DEPARTMENTS
     login_words: tuple[str, ...] = ("login", "signin", "verify", "account", "auth", "password")
     wording: dict[str, tuple[str, ...]] = field(default_factory=dict)
     #: A character and the text it is taken for; without any, a skeleton is the text itself.
@@ -109,6 +113,8 @@ DEMO = Profile(
     short_links=("example.net",),
     port_exceptions=(("m.example.com", (8080,)),),
     brand_words=("the", "ing"),
+    department_words=("tion", "heit"),
+    trusted_services=(("survey", ("example.net",), ("email",), ("password", "token")),),
     login_words=("login", "page", "ref"),
     wording={
         "URGENT_VERIFY_WORDING": ("verify", "worthless"),

@@ -25,7 +25,7 @@ def test_cases(spark):
         ("blank", " ", "text", None, None, None, None, None),
         ("kind", "x", "fax", None, None, None, None, None),
         ("many", "x", "text", None, None, ["a.exe"] * 51, None, None),
-        ("mail", "please v e r i f y n o w http://acme-login.net/login and http://acme-login.net:80/login", "email", None, "Acme login <a@evil.net>", ["b.pdf.exe"], ["https://q.net/login"], None),
+        ("mail", "please v e r i f y n o w http://acme-login.net/login and http://acme-login.net:80/login 网络中心", "email", None, "Acme login <a@evil.net>", ["b.pdf.exe"], ["https://q.net/login"], None),
         ("own", "verify now https://acme.com/a", "email", None, "A <a@acme.com>", None, None, None),
         ("read", "hello", "text", None, None, None, None, "verify&#32;now"),
         ("page", '<form action="http://acme.com/p"><input type=password></form><a href="/x">y</a>', "html", "https://acme.com/", None, None, None, None),
@@ -98,3 +98,71 @@ def test_plan_of_all_cases_stays_small(spark, sf_dir):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("flattened(") == 1
     assert len(plan) < 500_000
+
+
+def kinds(found):
+    return sorted((e["rule_id"], e["subject"]) for e in found)
+
+
+def judged(spark, profile=PROFILE, **case):
+    fields = {"case_id": "string", **C.TYPES}
+    row = {"case_id": "c", "input_type": "text", **case}
+    table = spark.createDataFrame([tuple(row.get(k) for k in fields)], ", ".join(f"{k} {t}" for k, t in fields.items()))
+    return C.case_evidence(table, profile).first()
+
+
+def test_plain_http_is_weak_evidence(spark):
+    found = {e["subject"]: e["confidence"] for e in judged(spark, input_text="see http://other.com/news and https://other.com/x").evidence if e["rule_id"] == "URL_NON_HTTPS"}
+    assert found == {"url:0": 0.30}
+    page = judged(spark, input_text='<form action="http://f.com/x"></form><a href="http://g.com/login">a</a>', input_type="html", base_url="https://h.com/")
+    assert {e["subject"]: e["confidence"] for e in page.evidence if e["rule_id"] == "URL_NON_HTTPS"} == {"url:0": 0.75, "url:1": 0.55}
+
+
+def test_each_attachment_and_code_gives_its_own_evidence(spark):
+    got = judged(
+        spark, input_text="x", attachments=["a.pdf.exe", "b.txt", "c.js", "d.tar.gz.scr"],
+        qr_urls=["tel:123", "plain words", "https://x.net/login", "https://acme.com/login", "https://y.net/%6Cogin", "https://z.net/?a=&#112;assword", "https://w.net/v"],
+    )
+    assert kinds(e for e in got.evidence if e["rule_id"].startswith("ATTACHMENT")) == [
+        ("ATTACHMENT_DOUBLE_EXTENSION", "attachment:0"), ("ATTACHMENT_DOUBLE_EXTENSION", "attachment:3"),
+        ("ATTACHMENT_EXECUTABLE", "attachment:0"), ("ATTACHMENT_EXECUTABLE", "attachment:2"), ("ATTACHMENT_EXECUTABLE", "attachment:3"),
+    ]
+    assert kinds(e for e in got.evidence if e["rule_id"].startswith("QR_")) == [
+        ("QR_CODE_EXTERNAL_URL", "qr:2"), ("QR_CODE_EXTERNAL_URL", "qr:4"), ("QR_CODE_EXTERNAL_URL", "qr:5"), ("QR_CODE_EXTERNAL_URL", "qr:6"),
+        ("QR_CREDENTIAL_URL", "qr:2"), ("QR_CREDENTIAL_URL", "qr:4"), ("QR_CREDENTIAL_URL", "qr:5"),
+    ]
+
+
+@pytest.mark.parametrize(
+    ("sender", "text", "rules_of_sender"),
+    [
+        ("x@evil.net", "The ACME 教务处 asks https://evil.net/a", ["EMAIL_SENDER_IMPERSONATION"]),
+        ("x@evil.net", "Acme asks", []),
+        ("Acme 教务处 login <x@evil.net>", "hello", []),
+        ("x@acme.com", "Acme 教务处", []),
+        ("x@evil.net", "acme: see https://other.org/", ["EMAIL_SENDER_LINK_MISMATCH"]),
+        ("x@evil.net", "hello https://other.org/", []),
+    ],
+)
+def test_senders_are_judged_by_the_text(spark, sender, text, rules_of_sender):
+    found = judged(spark, input_text=text, input_type="email", sender=sender).evidence
+    assert [e["rule_id"] for e in found if e["subject"] == "sender:0"] == rules_of_sender
+
+
+def test_redirects(spark):
+    got = judged(spark, input_text='<meta http-equiv="Refresh" content="0; URL=\'/next\'"><p>x', input_type="html", base_url="https://h.com/a")
+    assert [(u["url"], u["kind"]) for u in got.urls] == [("https://h.com/next", "meta"), ("https://h.com/a", "base")]
+    assert "JS_LOCATION_REDIRECT" in {e["rule_id"] for e in judged(spark, input_text="window.location&#61;1", input_type="sms").evidence}
+    page = judged(spark, input_text="<script>top.location = 'x'</script>", input_type="html").evidence
+    assert [e["rule_id"] for e in page].count("JS_LOCATION_REDIRECT") == 1
+
+
+def test_forbidden_field_of_a_trusted_service(spark):
+    own = P.Profile(trusted_services=(("survey", ("forms.net",), ("email",), ("password", "bank_card")), ("second", ("net",), (), ("token",))))
+    form = '<form action="https://a.{d}/p"><input name={n} type={t}></form>'
+    get = lambda d, n, t: {e["rule_id"] for e in judged(spark, own, input_text=form.format(d=d, n=n, t=t), input_type="html", base_url="https://h.com/").evidence}
+    assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" in get("forms.net", "x", "password") and "FORM_COLLECTS_SECRET" not in get("forms.net", "x", "password")
+    assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" in get("forms.net", "my_bank_card", "text")
+    assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" not in get("forms.net", "token", "text")
+    assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" in get("other.net", "token", "text")
+    assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" not in get("other.org", "x", "password") and "FORM_COLLECTS_SECRET" in get("other.org", "x", "password")

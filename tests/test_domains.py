@@ -38,7 +38,7 @@ def test_list_table_of_fifty_thousand(spark, monkeypatch, most):
     hosts = some_hosts(rng, 3000) + [f"w.{h}" for h in rng.sample(sorted(entries), 300)] + ["A.Upper.CASE.net.", "hot.com"] + ["hot.com"] * 50 + [None, "", "."]
     table = spark.createDataFrame([(d, kind, n) for d, (kind, n) in entries.items()], "domain string, kind string, n int")
     rows = spark.createDataFrame(list(enumerate(hosts)), "id long, host string")
-    joined = domains.with_listed(rows, table, F.col("id"))
+    joined = domains.with_listed(rows, table)
     found = {r.id: (r.domain, r.kind, r.n) for r in joined.collect()}
     assert len(found) == len(hosts)
     for k, h in enumerate(hosts):
@@ -59,7 +59,7 @@ def test_lists_by_kind_below_repeated_and_empty(spark):
     ]
     assert get(itself=False) == [("a.com", "com", "y", 5), ("b.a.com", "a.com", "x", 2), ("c.b.a.com", "b.a.com", "x", 0)]
     assert domains.listed(hosts, table.limit(0)).collect() == []
-    assert [r.domain for r in domains.with_listed(hosts, table.limit(0), F.col("host")).collect()] == [None] * 5
+    assert [r.domain for r in domains.with_listed(hosts, table.limit(0)).collect()] == [None] * 5
 
 
 @pytest.mark.parametrize(

@@ -77,11 +77,11 @@ def test_html_rules(spark, page, rule):
 
 def test_attachments_sender_and_qr(spark):
     names = F.array(F.lit("a.txt"), F.lit("invoice.pdf.exe"))
-    found = one(spark, rules.gathered(rules.attachment_evidence(names, PROFILE)))
+    found = one(spark, rules.attachment_evidence(names, PROFILE))
     assert [(e["rule_id"], e["subject"]) for e in found] == [("ATTACHMENT_EXECUTABLE", "attachment:1"), ("ATTACHMENT_DOUBLE_EXTENSION", "attachment:1")]
-    found = one(spark, rules.gathered(rules.sender_evidence(F.lit("acme login <x@bad.net>"), F.array(F.lit("evil.org")), PROFILE)))
+    found = one(spark, rules.gathered(rules.sender_evidence(F.lit("Help <x@bad.net>"), F.array(F.lit("evil.org")), F.lit("Acme 教务处: please LOGIN"), PROFILE)))
     assert [e["rule_id"] for e in found] == ["EMAIL_SENDER_IMPERSONATION", "EMAIL_SENDER_LINK_MISMATCH"]
-    found = one(spark, rules.gathered(rules.qr_evidence(F.array(F.lit("https://acme.com"), F.lit("https://x.net/login")), PROFILE)))
+    found = one(spark, rules.qr_evidence(F.array(F.lit("https://acme.com"), F.lit("https://x.net/login")), PROFILE))
     assert [e["subject"] for e in found] == ["qr:1", "qr:1"]
 
 
