@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """The modules that register more queries here."""
-    from larkspan import catalogue_cases, catalogue_domains, catalogue_evaluation, catalogue_readings, catalogue_semantic  # noqa: F401
+    from larkspan import catalogue_cases, catalogue_domains, catalogue_evaluation, catalogue_readings, catalogue_runs, catalogue_semantic  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -77,10 +77,10 @@ def listed(hosts: DataFrame, entries: DataFrame, host_col: str = "host", domain_
 def with_listed(rows: DataFrame, entries: DataFrame, host_col: str = "host", domain_col: str = "domain", itself: bool = True) -> DataFrame:
     """``rows`` with the entry of its host, null where there is none.
 
-    Hosts that are listed come back to the rows by a join that adaptive execution broadcasts where they are few, and
-    splits where one host has many rows.
+    Hosts that are listed come back to the rows under ``SALTS`` keys each, so that the rows of a common host are dealt to as many tasks.
     """
-    return rows.join(listed(rows, entries, host_col, domain_col, itself=itself), host_col, "left")
+    plain_columns = [c for c in rows.columns if rows.schema[c].dataType.typeName() not in ("map", "variant")]
+    return measured_join(rows, listed(rows, entries, host_col, domain_col, itself=itself), [host_col], F.xxhash64(*plain_columns), "left", small=False)
 
 
 def public_suffixes(hosts: DataFrame, suffix_rules: DataFrame, host_col: str = "host", rule_col: str = "rule", default: bool = False) -> DataFrame:

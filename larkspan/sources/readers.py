@@ -58,6 +58,30 @@ def image_kind(content: Column) -> Column:
     return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.rlike("^52494646.{8}57454250"), "webp")
 
 
+# Suffixes of images, and those of the texts beside them, the first of which counts.
+IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".webp")
+TRUTH_SUFFIXES = (".txt", ".text", ".gt.txt")
+
+
+def images_with_truth(spark: SparkSession, images: str, truths: str) -> DataFrame:
+    """image (file name), image_path, truth_path, ground_truth, missing: every image of a folder with the text of the same stem.
+
+    Of several texts the one whose suffix comes first in ``TRUTH_SUFFIXES`` counts. The bytes of images are not read; texts are UTF-8, without a mark of
+    byte order and without white space at their ends. An image without a text is ``missing``.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    shown = "(?i)\\.(" + "|".join(s[1:] for s in IMAGE_SUFFIXES) + ")$"
+    files = spark.read.format("binaryFile").load(images).select("path", name.alias("image")).filter(F.col("image").rlike(shown))
+    files = files.withColumn("stem", F.regexp_replace("image", shown, ""))
+    beside = spark.read.format("binaryFile").load(truths).select("path", name.alias("file"))
+    # a name may be read as several stems: a.gt.txt belongs to a and to a.gt
+    each = [beside.filter(F.col("file").endswith(s)).select(F.regexp_replace("file", s.replace(".", "\\.") + "$", "").alias("stem"), F.lit(k).alias("at"), "path") for k, s in enumerate(TRUTH_SUFFIXES)]
+    best = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("stem").agg(F.min_by("path", F.struct("at", "path")).alias("truth_path"))
+    found = files.join(best, "stem", "left").select("image", F.col("path").alias("image_path"), "truth_path")
+    texts = spark.read.format("binaryFile").load(truths).select(F.col("path").alias("truth_path"), F.regexp_replace(decoded(F.col("content")), "(?U)^\\s+|\\s+$", "").alias("ground_truth"))
+    return found.join(texts, "truth_path", "left").select("image", "image_path", "truth_path", "ground_truth", F.col("truth_path").isNull().alias("missing"))
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Metrics as JSON, without the details of single cases."""
     metrics.drop("details").write.mode("overwrite").json(path)
