@@ -12,7 +12,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT_CONF = "spark.checkpoint.dir"
 #: Whether Spark removes a query's shuffle files when the query ends, rather than when the driver collects garbage.
@@ -93,3 +94,13 @@ def discard(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def positive_hash(h: Column) -> Column:
+    """A 64-bit hash as one of 63 bits, from 0 on."""
+    return F.shiftrightunsigned(h, 1)
+
+
+def cut_at(share: float) -> int:
+    """The largest positive_hash() of a sample of about ``share`` of all rows. Never below 0, so that no share cuts to nothing by rounding."""
+    return min((1 << 63) - 1, max(0, int(share * (1 << 63))))

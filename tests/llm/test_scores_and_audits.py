@@ -10,7 +10,10 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from larkspan.llm import catalogue, divergence, quality, whitening
+from pyspark.sql import functions as F
+
+from larkspan.llm import catalogue, divergence, language_id, near_dedup, neighbours, quality, staging, suffix_dedup, whitening
+from tests.llm.test_operators import brute_repeated
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, t string, term string, label int, n long"
 VECTORS = "vec_id long, embedding array<float>, label int, id long, v int, n int, component int, d int, block int"
@@ -268,3 +271,59 @@ def test_lost_or_repeated_tasks_do_not_count_twice(spark):
     rows = mixed_documents(random.Random(6), 120)
     results = [{tuple(r) for r in divergence.divergence(documents(spark, rows).repartition(p), least_docs=4).collect()} for p in (1, 13)]
     assert results[0] == results[1]
+
+
+# --- what is keyed, sampled or kept --------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("buckets", [(1024, 64), (3, 2)])
+def test_repeated_bytes_with_null_and_repeated_identifiers(spark, monkeypatch, buckets):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", buckets[0])
+    monkeypatch.setattr(suffix_dedup, "RUNS", buckets[1])
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    shared, whole = prose(60), prose(80)
+    texts = [whole, whole, prose(90), f"{prose(20)} {shared} {prose(5)}", f"{shared} {prose(9)}", prose(70), None, "", whole, f"{prose(8)} {shared}"]
+    ids = [None, 1, None, 2, None, 2, None, None, 2**62 + 1, 2**62 + 1]
+    rows = list(zip(ids, texts))
+    got = suffix_dedup.repeated_bytes(documents(spark, [(k, t, "en", "s") for k, t in rows]), length=120).drop("removed", "text").collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(key((k, *r)) for (k, _), (_, *r) in zip(rows, brute_repeated([(n, t) for n, (_, t) in enumerate(rows)], 120)))
+    left = suffix_dedup.drop_repeated(documents(spark, [(k, t, "en", "s") for k, t in rows]), length=120).collect()
+    assert sorted(len(r.text or "") for r in left) == sorted(r.n_bytes - r.n_removed for r in got)
+    words = suffix_dedup.drop_repeated(documents(spark, [(k, t, "en", "s") for k, t in rows]), length=101, words=51).collect()
+    assert len(words) == len(rows) and sum(whole in (r.text or "") for r in words) == 0
+
+
+def test_samples_of_huge_tables_are_not_empty():
+    for n in (10**6, 10**11, 10**18):
+        assert 0 < staging.cut_at(20_000 / n) < 1 << 63
+    assert staging.cut_at(5.0) == (1 << 63) - 1 and staging.cut_at(0.0) == 0
+
+
+def test_small_shares_leave_rows_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LEAST_ROWS", 5)
+    rows = [(k, "the and of with", "en", "s") for k in range(3000)] + [(3000 + k, "und der mit von", "de", "s") for k in range(4)]
+    model = language_id.train(documents(spark, rows).repartition(8), max_rows=100)
+    assert model.languages == ["de", "en"]
+    assert model.predict(["und mit der", "of the"])[0][0] == "de"
+    with pytest.raises(ValueError):
+        language_id.train(documents(spark, [(k, "1 2 3", "en", "s") for k in range(300)]), max_rows=10)
+
+
+def test_sample_of_vectors_is_never_empty_without_notice(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 40)
+    rng = np.random.default_rng(1)
+    table = vectors(spark, [(k, [float(c) for c in v]) for k, v in enumerate(rng.normal(size=(300, 6)).astype(np.float32))])
+    got = neighbours.nearest(table, F.col("id") % 50 == 0).collect()
+    assert len(got) == 6 * 5
+    monkeypatch.setattr(neighbours, "cut_at", lambda share: -1)
+    with pytest.raises(ValueError):
+        neighbours.nearest(table, F.col("id") % 50 == 0)
+
+
+def test_kept_is_true_or_false_for_null_identifiers(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "en", "s"), (None, text, "en", "s"), (None, "", "en", "s"), (None, "alone in the world", "en", "s"), (2, "another text of words", "en", "s")]
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (None, 1, False), (None, None, True), (None, None, True), (2, 2, True)], key=str)
