@@ -8,7 +8,8 @@ log probabilities; that matrix (languages x buckets) is broadcast, its size boun
 of texts that are not zero with the matrix.
 
 Training reads about ``max_rows`` labelled rows at most, those with the smallest hashes of
-the identifier, so that the sample does not depend on the order of the rows.
+the identifier, so that the sample does not depend on the order of the rows; of a language
+that would have fewer than ``LEAST_ROWS`` of them it reads about as many more as there are up to that.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; so do
 all texts if there is no labelled row. Equal scores go to the language first in
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.staging import bounded_batches
+from larkspan.llm.staging import bounded_batches, cut_at, positive_hash
 
 BUCKETS = 1 << 15
 MAX_N = 3
@@ -37,6 +38,8 @@ SMOOTHING = 0.5
 EVIDENCE = 1.0 / MAX_N
 #: Labelled rows that training reads at most.
 MAX_ROWS = 20_000
+#: Rows of a language that are read at least, if it has them (so training reads MAX_ROWS and MAX_LANGUAGES times as many at most).
+LEAST_ROWS = 200
 #: Labels that training takes at most: with the buckets they bound the matrix that is broadcast (128 MB). More are an error.
 MAX_LANGUAGES = 512
 #: Places of a text whose n-grams are hashed at once; counts add up over the whole text.
@@ -108,15 +111,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull())
-    seed = F.xxhash64(F.lit(7), F.col("id"))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l").alias("languages")).first()
-    n = facts["n"]
-    if facts["languages"] > MAX_LANGUAGES:
-        raise ValueError(f"{facts['languages']} labels are more than the {MAX_LANGUAGES} languages whose matrix can be broadcast")
+    sizes = rows.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"there are more labels than the {MAX_LANGUAGES} languages whose matrix can be broadcast")
+    n = sum(r["count"] for r in sizes)
     if n > max_rows:
-        # the cut of the hash that leaves about max_rows rows: a filter, so that no task sorts the texts
-        share = max_rows / n
-        rows = rows.filter(F.pmod(seed, F.lit(1 << 20)) < int(share * (1 << 20)))
+        # the cut of each language's hashes that leaves its rows of the sample: a filter, so that no task sorts the texts
+        cuts = [(r["l"], cut_at(max(max_rows / n, LEAST_ROWS / r["count"]))) for r in sizes]
+        table = rows.sparkSession.createDataFrame(cuts, "l string, cut long")
+        rows = rows.join(F.broadcast(table), "l").filter(positive_hash(F.xxhash64(F.lit(7), F.col("id"))) <= F.col("cut"))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -133,6 +136,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
     parts = rows.select("t", "l").mapInPandas(add_up, "l string, bucket long, n long")
     sums = parts.groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    if not len(sums) and n > max_rows:
+        raise ValueError(f"no row with a letter in the sample of {n} labelled rows")
     languages = sorted(sums["l"].unique())
     totals = np.zeros((len(languages), BUCKETS + 1), dtype=np.int64)
     place = {lang: k for k, lang in enumerate(languages)}
