@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "rep").alias("component_id"),
-        (F.col("id") == F.coalesce("component_id", "rep")).alias("kept"),
+        F.col("id").eqNullSafe(F.coalesce("component_id", "rep")).alias("kept"),
     )
 
 
