@@ -63,6 +63,11 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: Functions that Spark keeps in columns of their own. Put in place of each use, a function over the result of another one would
+#: at times stay inside a large expression, where no Python runs.
+_entities, _nfkc = _entities.asNondeterministic(), _nfkc.asNondeterministic()
+
+
 def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), _entities(text)).otherwise(text)
 
@@ -98,10 +103,14 @@ def normal_text(text: Column) -> Column:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _plain_all(values: pd.Series) -> pd.Series:
+def _each_plain(values: pd.Series) -> pd.Series:
     return values.map(lambda urls: None if urls is None else [None if u is None else unicodedata.normalize("NFKC", html.unescape(u)) for u in urls])
 
 
+#: Spark does not put it in place of its uses.
+_plain_all = _each_plain.asNondeterministic()
+
+
 def normal_urls(urls: Column) -> Column:
     """The texts of normalized() for an array of URLs. Python runs only where one has an entity or a character beyond ASCII."""
     odd = lambda u: F.coalesce(u.contains("&") | u.rlike("[^\\x00-\\x7F]"), F.lit(False))

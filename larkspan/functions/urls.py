@@ -107,10 +107,14 @@ def _idna(hosts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _idna_all(hosts: pd.Series) -> pd.Series:
+def _each_idna(hosts: pd.Series) -> pd.Series:
     return hosts.map(lambda h: None if h is None else [_try_decoded(x) for x in h])
 
 
+#: Spark does not put it in place of its uses: inside a large expression of other Python functions it would stay where no Python runs.
+_idna_all = _each_idna.asNondeterministic()
+
+
 def decoded_host(host: Column) -> Column:
     """The host with its xn-- labels decoded; one that cannot be decoded as it is."""
     return F.when(host.contains("xn--"), _idna(host)).otherwise(host)

@@ -16,10 +16,11 @@ def _share(part: Column, whole: Column) -> Column:
     return F.bround(F.when(whole == 0, 0.0).otherwise(part / whole), 6)
 
 
-def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: tp, fp, tn, fn, accuracy, precision, recall, f1, false_positive_rate (0 where undefined)."""
+def confusion(rows: DataFrame, actual: str, predicted: str, **more: Column) -> DataFrame:
+    """One row: tp, fp, tn, fn, accuracy, precision, recall, f1, false_positive_rate (0 where undefined), and ``more`` aggregates under their names."""
     a, p = F.col(actual), F.col(predicted)
-    counts = rows.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(~a & ~p).alias("tn"), F.count_if(a & ~p).alias("fn"))
+    others = [c.alias(k) for k, c in more.items()]
+    counts = rows.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(~a & ~p).alias("tn"), F.count_if(a & ~p).alias("fn"), *others)
     tp, fp, tn, fn = (F.col(k) for k in ("tp", "fp", "tn", "fn"))
     return counts.select(
         "tp", "fp", "tn", "fn",
@@ -28,6 +29,7 @@ def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
         _share(tp, tp + fn).alias("recall"),
         _share(2 * tp, 2 * tp + fp + fn).alias("f1"),
         _share(fp, fp + tn).alias("false_positive_rate"),
+        *more,
     )
 
 

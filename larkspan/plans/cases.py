@@ -35,11 +35,11 @@ def error_code(c) -> Column:
     )
 
 
-def prepared(cases: DataFrame, key: str = "case_id") -> DataFrame:
+def prepared(cases: DataFrame, key: str = "case_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the case's columns, normal (its normalized text), qr_normal (normalized QR URLs), page (struct of forms and links, empty unless html)."""
     have = set(cases.columns)
     cols = {k: (F.col(k) if k in have else F.lit(None)).cast(t) for k, t in TYPES.items()}
-    rows = cases.select(key, *[(F.coalesce(c, strings()) if TYPES[k].startswith("array") else c).alias(k) for k, c in cols.items()])
+    rows = cases.select(key, *keep, *[(F.coalesce(c, strings()) if TYPES[k].startswith("array") else c).alias(k) for k, c in cols.items()])
     rows = rows.withColumn("error_code", error_code({k: F.col(k) for k in TYPES}))
     html = F.when(F.col("error_code").isNull() & (F.col("input_type") == "html"), F.col("input_text")).otherwise("")
     text = F.when(F.col("error_code").isNull(), F.col("input_text")).otherwise("")
@@ -101,12 +101,12 @@ def evidence_of(c, profile: Profile) -> Column:
     return F.concat(of_urls, F.when(c["html"] != "", of_page).otherwise(F.array().cast(EVIDENCE)), scripts, rules.gathered(rest), *payload)
 
 
-def case_evidence(cases: DataFrame, profile: Profile = DEMO, key: str = "case_id") -> DataFrame:
-    """key, error_code, urls, evidence."""
-    rows = with_urls(prepared(cases, key))
+def case_evidence(cases: DataFrame, profile: Profile = DEMO, key: str = "case_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns ``keep``, error_code, urls, evidence."""
+    rows = with_urls(prepared(cases, key, keep))
     c = {k: F.col(k) for k in rows.columns}
     found = F.when(F.col("error_code").isNull(), evidence_of(c, profile)).otherwise(F.array().cast(EVIDENCE))
-    return rows.select(key, "error_code", "urls", found.alias("evidence"))
+    return rows.select(key, *keep, "error_code", "urls", found.alias("evidence"))
 
 
 def case_risks(cases: DataFrame, profile: Profile = DEMO, key: str = "case_id") -> DataFrame:

@@ -126,6 +126,21 @@ DEMO = Profile(
     },
 )
 
+# What the wording rules look for, names of sign-in pages, and services that shorten addresses.
+WORDING = {
+    "URGENT_VERIFY_WORDING": ("立即验证", "马上认证", "立即认证", "马上验证", "请尽快验证", "速验证"),
+    "TIME_LIMIT_PRESSURE": ("小时内", "今日内", "24小时", "12小时", "48小时", "今日截止", "过期"),
+    "ACCOUNT_DISABLE_THREAT": ("账号停用", "账号冻结", "账号关闭", "账户停用", "账户冻结", "停用账号", "禁用账号", "注销账号"),
+    "REWARD_OR_REFUND_BAIT": ("奖学金", "补贴", "退款", "领取", "助学", "助学金", "补助金", "退费"),
+    "SECURITY_UPGRADE_WORDING": ("安全升级", "异常登录", "安全中心", "安全验证", "账号保护", "身份验证"),
+    "CREDENTIAL_REQUEST_TEXT": ("请回复密码", "发送验证码", "输入银行卡", "提交密码", "填写密码", "验证码到"),
+}
+LOGIN_WORDS = ("login", "auth", "verify", "登录", "认证", "验证", "signin", "统一身份", "portal", "cas")
+SHORT_LINKS = ("bit.ly", "t.cn", "url.cn", "dwz.cn", "suo.im", "shorturl.at")
+
+#: The standard lists; official domains, brand words and trusted services belong to a deployment and are put in by it.
+STANDARD = Profile(wording=WORDING, login_words=LOGIN_WORDS, short_links=SHORT_LINKS)
+
 
 def profile_of(settings: dict) -> Profile:
     """A profile from settings as a configuration file has them (lists for tuples, mappings for pairs). Unknown names are an error."""

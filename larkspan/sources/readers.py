@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CASES = (
     "case_id string, input_text string, input_type string, base_url string, sender string, attachments array<string>, "
@@ -46,10 +48,26 @@ def duplicate_ids(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def _as_gb18030(data: bytes | None) -> str | None:
+    try:
+        return None if data is None else bytes(data).decode("gb18030")
+    except UnicodeDecodeError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def _gb18030(contents: pd.Series) -> pd.Series:
+    return contents.map(_as_gb18030)
+
+
 def decoded(content: Column) -> Column:
-    """UTF-8 text of a binary column without its byte order mark; null if it is not UTF-8."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    return F.regexp_replace(text, "^﻿", "")
+    """UTF-8 text of a binary column without its byte order mark, or GB18030 text if it is not UTF-8; null if it is neither.
+
+    Python runs only for what is not UTF-8.
+    """
+    text = content.cast("string")
+    fine = F.is_valid_utf8(text)
+    return F.regexp_replace(F.when(fine, text).otherwise(_gb18030(F.when(~fine, content))), "^﻿", "")
 
 
 def image_kind(content: Column) -> Column:

@@ -201,7 +201,7 @@ def test_disguised_wording(spark):
 
 def test_messages_with_sender_attachments_and_qr(spark):
     kinds = "id long, t string, s string, l array<string>, a array<string>, q array<string>"
-    rows = spark.createDataFrame([(0, "x", "acme login <x@bad.net>", ["https://evil.org/"], ["a.pdf.exe"], ["https://x.net/login"]), (1, "x", None, None, None, None)], kinds)
+    rows = spark.createDataFrame([(0, "Acme 教务处 login", "Help <x@bad.net>", ["https://evil.org/"], ["a.pdf.exe"], ["https://x.net/login"]), (1, "x", None, None, None, None)], kinds)
     got = detect.message_risks(rows, "id", "t", PROFILE, sender="s", links="l", attachments="a", qr_urls="q").collect()
     assert sorted((r["id"], r["n_evidence"]) for r in got) == [(0, 6), (1, 0)]
 
