@@ -35,7 +35,7 @@ def trust_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as audits of the images."""
     n = F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 100 * 4).alias("case_id"),
+        (F.col("l_orderkey") % 5000 * 4).alias("case_id"),
         (F.col("l_orderkey") * 10 + n).cast("int").alias("ord"),
         F.col("l_partkey").alias("block_id"),
         _one_of(_SELECTED, F.col("l_suppkey")).alias("selected_text"),
@@ -55,7 +55,7 @@ def trust_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT case_id, 4, 'http://n' || case_id % 3 || '.example/', 0, [] FROM plain
     ),
     audits AS (
-      SELECT l_orderkey % 100 * 4 AS case_id, l_orderkey * 10 + l_linenumber AS pos, trim({_pick(_SELECTED, 'l_suppkey')}) AS url, l_partkey AS blk,
+      SELECT l_orderkey % 5000 * 4 AS case_id, l_orderkey * 10 + l_linenumber AS pos, trim({_pick(_SELECTED, 'l_suppkey')}) AS url, l_partkey AS blk,
              {_pick(_VERIFICATION, 'l_partkey')} AS seen, l_linenumber, l_quantity FROM lineitem
     ),
     read AS (
