@@ -211,7 +211,7 @@ def wording_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CAST(coalesce(list_position(list_transform(list_filter(list_transform(regexp_split_to_array(lower(text), '[.!?。！？\\n]+'),
+    """SELECT doc_id, CAST(coalesce(list_position(list_transform(list_filter(list_transform(regexp_split_to_array(lower(text), '[!?。！？\\n]+'),
     lambda s: trim(s)), lambda s: s <> ''), lambda s: contains(s, 'within') OR contains(s, 'when')), true), 0) - 1 AS INTEGER) AS sentence FROM documents"""
 )
 def sentence_subject(spark: SparkSession, sf_dir: str) -> DataFrame:

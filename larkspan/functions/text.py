@@ -203,8 +203,8 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces between sentence ends, trimmed, without empty ones."""
-    parts = F.transform(F.split(text, "[.!?。！？\\n]+"), lambda s: F.trim(s))
+    """Pieces between sentence ends, trimmed, without empty ones. A full stop of Latin script ends none: addresses have it."""
+    parts = F.transform(F.split(text, "[!?。！？\\n]+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 
@@ -215,9 +215,19 @@ def first_sentence_with(text: Column, words: Sequence[str]) -> Column:
 
 
 def first_sentence_with_spread(text: Column, words: Sequence[str]) -> Column:
-    """Zero-based number of the first sentence that has one of the words as any_spread() sees them; 0 if a word only occurs across sentences."""
-    hits = F.transform(sentences(F.lower(text)), lambda s: any_spread(s, words))
-    return F.greatest(F.array_position(hits, True) - 1, F.lit(0)).cast("int")
+    """Zero-based number of the first sentence that has the first of the words, in their order, that any_spread() sees in the text.
+
+    0 if that word only occurs across sentences, or none does. Single words are looked for only where one of all is there.
+    """
+    if not words:
+        return F.lit(0)
+    patterns = F.array(*[F.lit("(?U)" + spread(w.lower())) for w in words])
+
+    def placed(low: Column) -> Column:
+        seen = F.get(F.filter(patterns, lambda p: F.regexp_like(low, p)), F.lit(0))
+        return let(seen, lambda p: F.greatest(F.array_position(F.transform(sentences(low), lambda s: F.regexp_like(s, p)), True) - 1, F.lit(0)).cast("int"))
+
+    return F.when(any_spread(text, words), let(F.lower(text), placed)).otherwise(0)
 
 
 def extension_layers(name: Column) -> Column:

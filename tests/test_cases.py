@@ -166,3 +166,18 @@ def test_forbidden_field_of_a_trusted_service(spark):
     assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" not in get("forms.net", "token", "text")
     assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" in get("other.net", "token", "text")
     assert "TRUSTED_SERVICE_FORBIDDEN_FIELD" not in get("other.org", "x", "password") and "FORM_COLLECTS_SECRET" in get("other.org", "x", "password")
+
+
+@pytest.mark.parametrize(
+    ("text", "words", "sentence"),
+    [
+        ("see a.com now. then verify", ("verify",), 0),
+        ("one! two?\n\n  verify", ("verify",), 2),
+        ("first quick! then verify", ("verify", "quick"), 1),
+        ("first quick! then v e​r i f y", ("quick", "verify"), 0),
+        ("veri!fy", ("verify",), 0),
+        ("nothing", ("verify",), 0),
+    ],
+)
+def test_sentence_of_the_first_word_of_the_list(spark, text, words, sentence):
+    assert first(spark, T.first_sentence_with_spread(F.col("t"), words), t=text) == sentence
