@@ -24,9 +24,7 @@ front of their groups. Nothing is renamed or sorted recursively. A string is rep
 its suffix shares ``length`` bytes with a neighbour in the array.
 
 Keys. A row is known by its identifier and a hash of its text together (row_key()), so that
-identifiers may be null or stand for several texts: each text loses its own bytes. Rows of a
-common anchor, or of a common segment, are counted and met in ``RUNS`` runs of their keys, so
-that no task has all of them.
+identifiers may be null or stand for several texts: each text loses its own bytes.
 
 Defined results: null counts as empty; texts shorter than ``length`` bytes lose nothing;
 matches never cross texts; repeated rows are judged as different rows and lose the same
@@ -62,7 +60,7 @@ LENGTH = 400
 ANCHOR = 64
 #: Different segments of an anchor that are sorted together at most (a segment has under 2 * length bytes).
 BUCKET = 1024
-#: Parts that the rows of a common anchor, segment or passage are spread over.
+#: Parts that the rows of a common passage are spread over.
 RUNS = 64
 #: Places of the anchor in the strings of a stretch of a common anchor's segments; each divides the one before.
 WIDTHS = (64, 8, 1)
@@ -247,25 +245,21 @@ def repeated_starts(parts: list[tuple[bytes, int, int]], length: int) -> list[li
     return out
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """What a row is known by: its identifier, if it has one, and a hash of its text."""
-    name = F.when(F.col(id_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(id_col).cast("string")))
-    return F.concat(F.hex(F.xxhash64(F.col(text_col).cast("string"))), name)
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """struct(k, h): what a row is known by, its identifier and a hash of its text (and of whether there is an identifier). Never null."""
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    k = F.coalesce(F.col(id_col).cast("long" if whole else "string"), F.lit(0).cast("long") if whole else F.lit(""))
+    return F.struct(k.alias("k"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).isNull()).alias("h"))
 
 
-def run_of(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(RUNS)).cast("int").alias("run")
-
-
-def downward(counts: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
-    """(key, run, columns of ``totals``): what is known of a key, brought to each run that has rows of it."""
-    return counts.select(*key, "run").join(totals, key)
+def key_kinds(rows: DataFrame) -> str:
+    return f"k {rows.schema['id'].dataType['k'].dataType.simpleString()}, h long"
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """(id, spans): the runs [start, end) of bytes to remove, sorted, of each text (by its row_key()) that has any; a written table."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(row_key(id_col, text_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).filter(F.octet_length("data") >= length)
+    rows = docs.select(row_key(docs, id_col, text_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).filter(F.octet_length("data") >= length)
 
     names = ["anchor", "digest", "offset", "first", "more"]
     kinds = "anchor long, digest long, offset int, first int, more int"
@@ -273,9 +267,10 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, data in zip(b["id"], b["data"]):
+            for k, h, data in zip(b["k"], b["h"], b["data"]):
                 found = pd.DataFrame(dict(zip(names, segments(np.frombuffer(data, np.uint8), length))))
-                found.insert(0, "id", key)
+                found.insert(0, "k", k)
+                found.insert(1, "h", h)
                 out.append(found)
                 if len(out) == 200:
                     yield pd.concat(out)
@@ -283,20 +278,16 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
             if out:
                 yield pd.concat(out)
 
-    everything = staged(rows.mapInPandas(find, f"id string, {kinds}"), "segments").withColumn("run", run_of("id"))
+    found = rows.select("id.k", "id.h", "data").mapInPandas(find, f"{key_kinds(rows)}, {kinds}")
+    everything = staged(found.select(F.struct("k", "h").alias("id"), *names), "segments")
     # an anchor that occurs once has nothing that repeats, which is so for most of them
-    counts = everything.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    found = staged(everything.join(downward(counts, often, ["anchor"]), ["anchor", "run"], "left_semi"), "candidates")
+    often = everything.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    found = staged(everything.join(often, "anchor", "left_semi"), "candidates")
     discard(everything)
     held = [found]  # tables that are needed until the runs are written
     distinct = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "offset", "first", "more")).alias("one"))
-    distinct = staged(distinct, "segments-once").withColumn("run", run_of("digest"))
-    held.append(distinct)
-    counts = distinct.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
-    by_anchor = counts.groupBy("anchor").agg(F.sum("kinds").alias("kinds"), F.min("fewest").alias("fewest"))
-    known = distinct.join(downward(counts, by_anchor, ["anchor"]), ["anchor", "run"]).drop("run")
-    distinct = staged(known.filter((F.col("copies") > 1) | (F.col("kinds") > 1)), "distinct")
+    by_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
+    distinct = staged(distinct.join(by_anchor, "anchor").filter((F.col("copies") > 1) | (F.col("kinds") > 1)), "distinct")
     held.append(distinct)
     whole = distinct.filter(F.col("copies") > 1).select("anchor", "digest", F.array(F.lit(0)).alias("begin"), F.array("one.more").alias("end"))
     unsure = distinct.filter((F.col("kinds") > 1) & (F.col("fewest") == 1)).select("one.*", "anchor", "digest", F.least("copies", F.lit(2)).cast("int").alias("copies"), "kinds")
@@ -326,10 +317,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     common = parts.filter(F.col("kinds") > BUCKET).drop("kinds")
     if not common.isEmpty():
         repeated = repeated.unionByName(common_runs(common, length, sort, held))
-    # a segment that a large part of the rows has is met in runs too
-    counts = found.groupBy("anchor", "digest", "run").agg(F.count(F.lit(1)).alias("n"))
-    met = found.join(downward(counts, repeated, ["anchor", "digest"]), ["anchor", "digest", "run"])
-    runs = met.select("id", F.explode(F.arrays_zip("begin", "end")).alias("r"), "first")
+    runs = found.join(repeated, ["anchor", "digest"]).select("id", F.explode(F.arrays_zip("begin", "end")).alias("r"), "first")
     runs = runs.select("id", F.struct((F.col("first") + F.col("r.begin")).cast("long").alias("start"), (F.col("first") + F.col("r.end") + length).cast("long").alias("end")).alias("span"))
     runs = staged(runs.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
     for table in held:
@@ -433,17 +421,19 @@ def passages(data: bytes, runs: list[tuple[int, int]], words: int) -> tuple[np.n
 def word_spans(docs: DataFrame, id_col: str, text_col: str, length: int, words: int) -> DataFrame:
     """spans() of the strings that hold ``words`` whole words at both places."""
     runs = spans(docs, id_col, text_col, length)
-    rows = docs.select(row_key(id_col, text_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).join(runs, "id")
+    rows = docs.select(row_key(docs, id_col, text_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data")).join(runs, "id")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for key, data, own in zip(b["id"], b["data"], b["spans"]):
+            for k, h, data, own in zip(b["k"], b["h"], b["data"], b["spans"]):
                 found = pd.DataFrame(dict(zip(("hash", "start", "end"), passages(bytes(data), merged(own), words))))
                 if len(found):
-                    found.insert(0, "id", key)
+                    found.insert(0, "k", k)
+                    found.insert(1, "h", h)
                     yield found
 
-    found = staged(rows.mapInPandas(find, "id string, hash long, start int, end int"), "passages").withColumn("run", run_of("id"))
+    found = rows.select("id.k", "id.h", "data", "spans").mapInPandas(find, f"{key_kinds(rows)}, hash long, start int, end int")
+    found = staged(found.select(F.struct("k", "h").alias("id"), "hash", "start", "end"), "passages").withColumn("run", F.pmod(F.xxhash64("id"), F.lit(RUNS)).cast("int"))
     # counts go up by (hash, run) and come down the same way, so that a common passage is spread
     counts = found.groupBy("hash", "run").agg(F.count(F.lit(1)).alias("n"))
     often = counts.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
@@ -466,7 +456,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``text`` is what is left; a character cut in two goes entirely.
     """
     found = spans(docs, id_col, text_col, length)
-    rows = docs.select(F.col(id_col).cast("string").alias("key"), row_key(id_col, text_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    rows = docs.select(F.col(id_col).cast("string").alias("key"), row_key(docs, id_col, text_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "text"]
@@ -499,6 +489,6 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = [t if s is None or t is None else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts, own)]
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(found, row_key(id_col, text_col) == found[key], "left")
+    joined = docs.join(found, row_key(docs, id_col, text_col) == found[key], "left")
     cut_text = F.when(F.col(own_spans).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(own_spans)))
     return joined.withColumn(text_col, cut_text).select(*docs.columns)
