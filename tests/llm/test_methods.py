@@ -96,6 +96,29 @@ def test_neighbours_are_pruned_and_found(spark, monkeypatch):
     assert got[6000] == [6001, 6002, 6003, 6004, 6005] and got[6050] == [6000, 6001, 6002, 6003, 6004]
 
 
+def test_neighbours_of_queries_of_another_kind(spark):
+    """All rows but the queries lie in tight groups; what suffices for them finds few neighbours of the queries."""
+    rng = np.random.default_rng(4)
+    n, groups = 6000, rng.normal(size=(40, 32))
+    x = groups[rng.integers(0, 40, n)] + 0.05 * rng.normal(size=(n, 32))
+    x[::50] = rng.normal(size=(n // 50, 32))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(vectors, F.col("id") % 50 == 0).collect()}
+    unit = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+    hits = 0
+    for q in range(0, n, 50):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        hits += sum((q, int(k)) in got for k in np.argsort(-cos)[:5])
+    assert len(got) == n // 50 * 5 and hits >= 0.9 * len(got)
+
+
+def test_scores_of_vectors_of_any_size(spark):
+    rows = [(0, [3e200, 4e200]), (1, [4e-200, 3e-200]), (2, [1.0, 0.0]), (3, [-1e300, 0.0])]
+    got = [(r.vec_id, r.score) for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect(), key=lambda r: r["rank"])]
+    assert [k for k, _ in got] == [1, 2, 3] and [s for _, s in got] == pytest.approx([0.96, 0.6, -0.6])
+
+
 def test_vectors_of_different_lengths(spark):
     rows = [(k, [1.0, float(k)]) for k in range(8)] + [(50, [1.0, 2.0, 3.0]), (51, [1.0, 2.0, 3.5]), (51, [1.0, 2.0, 3.5]), (None, [1.0, 1.0])]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
