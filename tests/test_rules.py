@@ -209,3 +209,35 @@ def test_messages_with_sender_attachments_and_qr(spark):
 def test_composite(spark):
     assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy")))) == 0
     assert one(spark, semantic.composite(F.array(F.lit("urgency"), F.lit("secrecy"), F.lit("info_request")))) == 35
+
+
+def calls(df):
+    """Mentions of Python functions in the physical plan's nodes that run them, by name."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.split("\n") if "ArrowEvalPython" in line]
+    return {name: sum(line.count(f"{name}(") for line in nodes) for name in ("_plain", "_entities", "_nfkc")}
+
+
+def test_normalization_calls_python_once(spark):
+    texts = spark.createDataFrame([("a",)], "t string")
+    assert sum(calls(texts.select(T.normalized(F.col("t"), F.lit(False)).alias("n"))).values()) == 1
+    assert sum(calls(texts.select(T.normal_text(F.col("t")).alias("n"))).values()) == 1
+
+
+@pytest.mark.parametrize(
+    ("given", "text", "operations"),
+    [
+        (None, "", []),
+        ("plain", "plain", []),
+        ("a & b", "a & b", []),
+        ("&amp;#38;", "&#38;", ["html_entity_decode"]),
+        ("&#xFF21;%41", "AA", ["html_entity_decode", "unicode_nfkc", "url_decode"]),
+        ("é", "é", []),
+        ("%25e2%2580%258b+%zz", "​+%zz", ["url_decode"]),
+        ("ａ​％41", "aA", ["unicode_nfkc", "zero_width_removed", "url_decode"]),
+    ],
+)
+def test_normalized_texts(spark, given, text, operations):
+    rows = spark.createDataFrame([(given,)], "t string")
+    got = rows.select(T.normalized(F.col("t"), F.lit(False)).alias("n"), T.normal_text(F.col("t")).alias("m")).first()
+    assert (got.n["text"], got.n["operations"], got.m) == (text, operations, text)
