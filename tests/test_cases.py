@@ -181,3 +181,8 @@ def test_forbidden_field_of_a_trusted_service(spark):
 )
 def test_sentence_of_the_first_word_of_the_list(spark, text, words, sentence):
     assert first(spark, T.first_sentence_with_spread(F.col("t"), words), t=text) == sentence
+
+
+@pytest.mark.parametrize(("text", "sentence"), [("One. two? within", 2), ("one... when it was. within", 1), ("two! 。within", 1), ("when", 0), ("none. here", -1)])
+def test_full_stops_end_sentences_of_texts(spark, text, sentence):
+    assert first(spark, T.first_sentence_with(F.col("t"), ("within", "when")), t=text) == sentence
