@@ -11,7 +11,8 @@ kind in their order.
 Defined results: a case without candidates has counts of 0 and empty arrays; null texts have no URLs; null
 verification is none, null eligibility is no, null malformation is no; a URL that an earlier candidate
 of the case has is accepted, but not shown again, and not counted for a case that was not read from an
-image; audits of unknown cases are ignored. Case identifiers are taken to be unique; null ones stay out.
+image; audits of unknown cases are ignored. Audits of a case with the same number and block go
+by their URLs and reasons, so that the result never depends on how rows are dealt. Case identifiers are taken to be unique; null ones stay out.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def candidates(cases: DataFrame, audits: DataFrame) -> DataFrame:
 
 def resolved(cases: DataFrame, audits: DataFrame) -> DataFrame:
     """case_id, trust_policy, accepted_count, rejected_count, candidates_seen, verified (URLs), unverified (URLs with reasons)."""
-    at = ["source", "item", "nth", "block_id"]
+    at = ["source", "item", "nth", "block_id", "url", "reasons"]
     rows = candidates(cases, audits).withColumn("ok", F.size("reasons") == 0)
     same = Window.partitionBy("case_id", "ok", "url").orderBy(*at)
     rows = rows.withColumn("repeat", F.col("ok") & (F.row_number().over(same) > 1))

@@ -57,6 +57,17 @@ def test_images_trust_audits_alone(spark):
     assert (got["empty"].trust_policy, got["empty"].verified, got["empty"].candidates_seen) == ("audited", [], 0)
 
 
+def test_audits_of_one_place_go_by_their_urls(spark):
+    urls = [f"ftp://h{k}.org" for k in range(40)]
+    cases = spark.createDataFrame([("i", None, None, None, None, "image_ocr", None)], CASES)
+    audits = spark.createDataFrame([("i", 1, 1, u, "conflict", True, False) for u in urls], AUDITS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [u.url for u in trust.resolved(cases, audits.repartition(4)).first().unverified] == sorted(urls)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize(("url", "fine"), [(GOOD, True), ("HTTP://A.co", True), ("http://a_b.com", False), ("http://a", False), ("https://a.com:80/x", False), ("https://a.com/ x", False), ("ftp://a.com", False), ("https://a-.com", False), ("https://a.com/[x]?y#z", True), (None, False)])
 def test_strict_syntax(spark, url, fine):
     assert spark.createDataFrame([(url,)], "u string").select(trust.strict(F.col("u")).alias("s")).first().s is fine
