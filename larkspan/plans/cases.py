@@ -14,6 +14,7 @@ from larkspan.functions import urls as U
 from larkspan.operators import dom, rules
 from larkspan.operators.scoring import EVIDENCE, active, let, risk
 from larkspan.plans.profile import DEMO, MAX_BYTES, Profile
+from larkspan.session import bounded_batches
 
 TYPES = {"input_text": "string", "input_type": "string", "base_url": "string", "sender": "string", "attachments": "array<string>", "qr_urls": "array<string>", "ocr_text": "string"}
 KINDS = ("url", "html", "email", "sms", "text")
@@ -37,6 +38,7 @@ def error_code(c) -> Column:
 
 def prepared(cases: DataFrame, key: str = "case_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the case's columns, normal (its normalized text), qr_normal (normalized QR URLs), page (struct of forms and links, empty unless html)."""
+    bounded_batches(cases.sparkSession)
     have = set(cases.columns)
     cols = {k: (F.col(k) if k in have else F.lit(None)).cast(t) for k, t in TYPES.items()}
     rows = cases.select(key, *keep, *[(F.coalesce(c, strings()) if TYPES[k].startswith("array") else c).alias(k) for k, c in cols.items()])

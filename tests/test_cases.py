@@ -186,3 +186,15 @@ def test_sentence_of_the_first_word_of_the_list(spark, text, words, sentence):
 @pytest.mark.parametrize(("text", "sentence"), [("One. two? within", 2), ("one... when it was. within", 1), ("two! 。within", 1), ("when", 0), ("none. here", -1)])
 def test_full_stops_end_sentences_of_texts(spark, text, sentence):
     assert first(spark, T.first_sentence_with(F.col("t"), ("within", "when")), t=text) == sentence
+
+
+def test_case_plans_hand_rows_to_python_by_bytes(spark):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf, None)
+    spark.conf.unset(conf)
+    try:
+        C.prepared(spark.createDataFrame([("a", "x", "sms")], "case_id string, input_text string, input_type string"))
+        assert int(spark.conf.get(conf)) == 4 << 20
+    finally:
+        if before is not None:
+            spark.conf.set(conf, before)
