@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -96,6 +97,28 @@ def test_neighbours_are_pruned_and_found(spark, monkeypatch):
     assert got[6000] == [6001, 6002, 6003, 6004, 6005] and got[6050] == [6000, 6001, 6002, 6003, 6004]
 
 
+def test_neighbours_are_fitted_in_little_memory():
+    """The driver fits a whole sample, with as many cells as millions of rows get; before, tables of it against all entries and cells took 270 MB."""
+    sample = neighbours.unit(np.random.default_rng(4).normal(size=(neighbours.SAMPLE, 8)))
+    tracemalloc.start()
+    try:
+        model = neighbours.Model.fit(sample, 1 << 22, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.centres) == 1024 and peak < 100e6
+
+
+def test_entries_solve_the_whole_system():
+    """Cholesky by block rows gives the least squares solution that the full matrix has."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 48))
+    full, right = x.T @ x + 0.1 * np.eye(48), rng.normal(size=(48, 7))
+    for size in (48, 16, 1):
+        lower = [full[at : at + size, : at + size].copy() for at in range(0, 48, size)]
+        assert neighbours.solved(lower, right) == pytest.approx(np.linalg.solve(full, right), abs=1e-9)
+
+
 def test_neighbours_of_queries_of_another_kind(spark):
     """All rows but the queries lie in tight groups; what suffices for them finds few neighbours of the queries."""
     rng = np.random.default_rng(4)
