@@ -160,6 +160,17 @@ def test_whitening_does_not_depend_on_how_rows_are_dealt(spark):
     assert one == other
 
 
+def test_projection_of_a_row_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(9)
+    x, v = rng.normal(size=(1500, 20)) * 1e3, rng.normal(size=(20, 20))
+    known = whitening.Facts(1500, [0] * 20, np.zeros(20, np.int64), np.zeros(20, np.int64))
+    model = whitening.Whitening(known, np.ones(20), v, 1.0)
+    whole = model.project(x)
+    assert whole == pytest.approx(x @ v, abs=1e-8)
+    for n in (1, 2, 3, 5, 17, 150, 1025):
+        assert np.array_equal(model.project(x[:n]), whole[:n]) and np.array_equal(model.project(x[-n:]), whole[-n:])
+
+
 def test_whitening_of_large_entries(spark):
     rng = np.random.default_rng(4)
     rows = [(k, [float(c) for c in v]) for k, v in enumerate((rng.normal(size=(40, 4)) * [1e9, 1e7, 1, 1e3]).astype(np.float32))]
