@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.llm import byte_bpe, components, exact_dedup, html_text, language_id, near_dedup, neighbours, packing, sharding, suffix_dedup, token_counts
+from larkspan.llm import byte_bpe, components, exact_dedup, html_text, language_id, near_dedup, neighbours, packing, sharding, staging, suffix_dedup, token_counts
 from larkspan.llm.pretokens import space_chunks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, id long, t string, rep string"
@@ -203,6 +203,33 @@ def test_texts_longer_than_a_block(spark, monkeypatch):
         assert got[k].text == left.decode()
 
 
+def test_rows_of_a_common_anchor_go_to_several_tasks(spark, monkeypatch):
+    """One line in every text, beside other words each time: most segments and most different ones have its anchors."""
+    dealt = {}
+
+    def watched(df, name):
+        out = staging.staged(df, name)
+        if name in ("candidates", "distinct"):  # a task writes a file
+            dealt[name] = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", watched)
+    rng = random.Random(17)
+    line = words(rng, 18)
+    rows = [(k, f"{words(rng, 4)} {line} {words(rng, 4)}") for k in range(2000)]
+    confs = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "32", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = suffix_dedup.repeated_bytes(table(spark, rows), length=60).drop("removed", "text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert sorted(map(tuple, got)) == sorted(brute_repeated(rows, 60))
+    assert all(max(n) <= 0.2 * sum(n) for n in dealt.values()) and len(dealt) == 2, {k: (max(n), sum(n)) for k, n in dealt.items()}
+
+
 def test_drop_repeated_keeps_columns(spark):
     docs = table(spark, corpus())
     out = suffix_dedup.drop_repeated(docs)
