@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,41 @@ def test_rows_of_a_common_anchor_go_to_several_tasks(spark, monkeypatch):
     assert all(max(n) <= 0.2 * sum(n) for n in dealt.values()) and len(dealt) == 2, {k: (max(n), sum(n)) for k, n in dealt.items()}
 
 
+def test_stretches_of_a_common_key_go_to_several_tasks(spark, monkeypatch):
+    """One line in every text, beside other words each time: the stretches around an anchor in it share a key."""
+    dealt = []
+
+    def watched(df, name):
+        out = staging.staged(df, name)
+        if name == "kinds":  # a task writes a file
+            dealt.append([r["count"] for r in out.groupBy(F.input_file_name()).count().collect()])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", watched)
+    rng = random.Random(17)
+    line = words(rng, 18)
+    rows = [(k, f"{words(rng, 4)} {line} {words(rng, 4)}") for k in range(2000)]
+    confs = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "32", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = suffix_dedup.repeated_bytes(table(spark, rows), length=60).drop("removed", "text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert sorted(map(tuple, got)) == sorted(brute_repeated(rows, 60))
+    assert dealt and all(max(n) <= 0.2 * sum(n) for n in dealt), [(max(n), sum(n)) for n in dealt]
+
+
+def test_rows_of_many_texts_leave_python_together():
+    """A frame takes the rows of all its texts, those without any among them, and text keys as well as numbers."""
+    texts = pd.DataFrame({"k": ["b", "a", "c"], "h": [2, 1, 1 << 62]})
+    found = [(np.array([5, 6]), np.array([0, 1])), (np.zeros(0, np.int64),) * 2, (np.array([7]), np.array([2]))]
+    got = suffix_dedup.beside_keys(texts, ["x", "y"], found)
+    assert list(got.itertuples(index=False, name=None)) == [("b", 2, 5, 0), ("b", 2, 6, 1), ("c", 1 << 62, 7, 2)]
+
+
 def test_drop_repeated_keeps_columns(spark):
     docs = table(spark, corpus())
     out = suffix_dedup.drop_repeated(docs)
