@@ -65,16 +65,15 @@ def trust_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM audits a JOIN cases c ON a.case_id = c.case_id
     ),
     every AS (SELECT *, len(reasons) = 0 AS ok FROM (SELECT * FROM written UNION ALL SELECT * FROM read)),
-    firsts AS (SELECT *, ok AND row_number() OVER (PARTITION BY case_id, ok, url ORDER BY pos, blk) > 1 AS again FROM every),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY case_id, ok, again ORDER BY pos, blk) AS place FROM firsts)
+    firsts AS (SELECT *, ok AND row_number() OVER (PARTITION BY case_id, ok, url ORDER BY pos, blk) > 1 AS again FROM every)
     SELECT c.case_id, CASE WHEN image THEN 'audited' ELSE 'written' END AS trust_policy, count(*) FILTER (ok) AS accepted_count, count(*) FILTER (NOT ok) AS rejected_count, count(ok) AS candidates_seen,
-           coalesce(string_agg(p.url, '|' ORDER BY pos, blk) FILTER (ok AND NOT again AND place <= 50), '') AS verified,
-           coalesce(string_agg(p.url || ' ' || array_to_string(reasons, ','), '|' ORDER BY pos, blk) FILTER (NOT ok AND place <= 50), '') AS unverified
-    FROM cases c LEFT JOIN placed p ON c.case_id = p.case_id GROUP BY ALL"""
+           coalesce(string_agg(p.url, '|' ORDER BY pos, blk) FILTER (ok AND NOT again), '') AS verified,
+           coalesce(string_agg(p.url || ' ' || array_to_string(reasons, ','), '|' ORDER BY pos, blk) FILTER (NOT ok), '') AS unverified
+    FROM cases c LEFT JOIN firsts p ON c.case_id = p.case_id GROUP BY ALL"""
 )
 def trusted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The URLs of each case that count, and those that do not with the reasons."""
-    found = trust.resolved(trust_cases(spark, sf_dir), trust_audits(spark, sf_dir))
+    found = trust.resolved(trust_cases(spark, sf_dir), trust_audits(spark, sf_dir), shown=None)
     shown = F.array_join(F.transform("unverified", lambda x: F.concat(x["url"], F.lit(" "), F.array_join(x["reasons"], ","))), "|")
     return found.withColumns({"verified": F.array_join("verified", "|"), "unverified": shown})
 

@@ -5,8 +5,8 @@ that are verified, eligible, of strict syntax and not malformed. Any other case
 and of its metadata (links, urls, link), in this order. In a second pass a case read too badly to be
 evidence loses all that it had.
 
-Candidates are rows; a case's result is counted from them, and shows its first ``SHOWN`` URLs of either
-kind in their order.
+Candidates are rows; a case's result is counted from them, and shows its URLs of either kind in their order:
+all of them, or the first few where the caller sets a number.
 
 Defined results: a case without candidates has counts of 0 and empty arrays; null texts have no URLs; null
 verification is none, null eligibility is no, null malformation is no; a URL that an earlier candidate
@@ -81,22 +81,27 @@ def candidates(cases: DataFrame, audits: DataFrame) -> DataFrame:
     return written.withColumn("image", F.lit(False)).unionByName(read.withColumn("image", F.lit(True)))
 
 
-def resolved(cases: DataFrame, audits: DataFrame) -> DataFrame:
-    """case_id, trust_policy, accepted_count, rejected_count, candidates_seen, verified (URLs), unverified (URLs with reasons)."""
+def resolved(cases: DataFrame, audits: DataFrame, shown: int | None = SHOWN) -> DataFrame:
+    """case_id, trust_policy, accepted_count, rejected_count, candidates_seen, verified (URLs), unverified (URLs with reasons).
+
+    ``shown``: how many URLs of either kind a case shows, None: all of them. Counts are of all candidates either way.
+    """
     at = ["source", "item", "nth", "block_id", "url", "reasons"]
     rows = candidates(cases, audits).withColumn("ok", F.size("reasons") == 0)
     same = Window.partitionBy("case_id", "ok", "url").orderBy(*at)
     rows = rows.withColumn("repeat", F.col("ok") & (F.row_number().over(same) > 1))
     # what a text repeats is one candidate, what audits repeat is not
     rows = rows.filter(F.col("image") | ~F.col("repeat"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("case_id", "ok", "repeat").orderBy(*at)))
-    shown = F.col("place") <= SHOWN
+    listed = ~F.col("repeat")
+    if shown is not None:
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("case_id", "ok", "repeat").orderBy(*at)))
+        listed = listed & (F.col("place") <= shown)
     counted = rows.groupBy("case_id").agg(
         F.count_if("ok").alias("accepted_count"),
         F.count_if(~F.col("ok")).alias("rejected_count"),
         F.count(F.lit(1)).alias("candidates_seen"),
-        F.sort_array(F.collect_list(F.when(F.col("ok") & ~F.col("repeat") & shown, F.struct("place", "url")))).alias("good"),
-        F.sort_array(F.collect_list(F.when(~F.col("ok") & shown, F.struct("place", "url", "reasons")))).alias("bad"),
+        F.sort_array(F.collect_list(F.when(F.col("ok") & listed, F.struct(*at)))).alias("good"),
+        F.sort_array(F.collect_list(F.when(~F.col("ok") & listed, F.struct(*at)))).alias("bad"),
     )
     seen = audits.select("case_id").distinct().withColumn("audited", F.lit(True))
     known = cases.filter("case_id IS NOT NULL").select("case_id", "input_type").join(seen, "case_id", "left")

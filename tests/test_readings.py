@@ -1,8 +1,10 @@
 """Trusted URLs, repaired readings, audits of second readings and the choice between passes."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan import catalogue
 from larkspan.operators import ocr, readings, trust
 
 CASES = "case_id string, content string, links array<string>, urls array<string>, link string, input_type string, ocr_quality_status string"
@@ -68,6 +70,31 @@ def test_audits_of_one_place_go_by_their_urls(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_cases_show_all_of_their_urls(spark):
+    hosts = [f"http://h{k}.com" for k in range(80)]
+    cases = [("written", " ".join(hosts), None, None, None, "sms", None), ("read", None, None, None, None, "image_ocr", None)]
+    audits = [("read", k, k, hosts[k // 2], ("verified", "conflict")[k % 2], True, False) for k in range(160)]
+    made = trust.resolved(spark.createDataFrame(cases, CASES), spark.createDataFrame(audits, AUDITS).repartition(4), shown=None)
+    got = {r.case_id: r for r in made.collect()}
+    assert got["written"].verified == hosts and got["read"].verified == hosts
+    assert [(u.url, u.reasons) for u in got["read"].unverified] == [(h, ["not_verified"]) for h in hosts]
+
+
+def test_query_shows_all_urls_of_a_case(spark, tmp_path):
+    spark.createDataFrame([(k, f"http://p{k}.example.org/") for k in (1, 4, 8)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    items = [(1 + k % 2, k, k, k % 7 + 1, float(k % 50)) for k in range(400)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    for name in ("pages", "lineitem"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    named = {r[0]: r for r in c.sql(f"SELECT case_id, accepted_count, rejected_count, verified, unverified FROM ({catalogue.oracle_sql()['trusted_urls']})").fetchall()}
+    got = {r.case_id: r for r in catalogue.queries()["trusted_urls"](spark, str(tmp_path)).collect()}
+    assert got[4].rejected_count > 100 and got[8].rejected_count == 200
+    for k in (4, 8):
+        assert len(got[k].unverified.split("|")) == got[k].rejected_count
+    assert {k: tuple(r[c] for c in ("case_id", "accepted_count", "rejected_count", "verified", "unverified")) for k, r in got.items()} == named
+
+
 @pytest.mark.parametrize(("url", "fine"), [(GOOD, True), ("HTTP://A.co", True), ("http://a_b.com", False), ("http://a", False), ("https://a.com:80/x", False), ("https://a.com/ x", False), ("ftp://a.com", False), ("https://a-.com", False), ("https://a.com/[x]?y#z", True), (None, False)])
 def test_strict_syntax(spark, url, fine):
     assert spark.createDataFrame([(url,)], "u string").select(trust.strict(F.col("u")).alias("s")).first().s is fine
